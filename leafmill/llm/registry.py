@@ -1,0 +1,59 @@
+"""The queries of this package, over the tables of a directory, with the parameters meant for production."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..sources.tables import table
+from . import boilerplate, splitting, tokens
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.repeated_lines(table(spark, d, "metadata"), "idx", "book_title", "snippet").select("idx", "line_no")
+
+
+def p2_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The boilerplate blocks of each title: their number of lines and their support."""
+    lines = boilerplate.lines_of(table(spark, d, "metadata"), "idx", "book_title", "snippet")
+    blocks = boilerplate.boilerplate_blocks(lines)
+    return blocks.groupBy("source", "block").agg(F.count("*").alias("n_lines"), F.max("support").alias("support")).select(F.col("source").alias("book_title"), "block", "n_lines", "support")
+
+
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.remove_repeated_lines(table(spark, d, "metadata"), "idx", "book_title", "snippet")
+
+
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, d, "metadata"), "snippet", ["idx", "page_number"])
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_pieces(spark, d).filter("piece_no = 0").select("idx").distinct()
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents"))
+
+
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's text, encoded and decoded again."""
+    return tokens.decode(tokens.encode(table(spark, d, "documents")))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_blocks, p2_clean, p6_found, p6_pieces, p8_ids, p8_decoded)}
+
+ORACLES: dict[str, str] = {
+    "p2_found": r"""
+        WITH l AS (
+          SELECT idx, book_title, line_no, regexp_replace(lower(line), '\P{L}+', '', 'g') AS k
+          FROM (SELECT idx, book_title, unnest(string_split(snippet, chr(10))) AS line, generate_subscripts(string_split(snippet, chr(10)), 1) - 1 AS line_no
+                FROM metadata WHERE book_title IS NOT NULL AND snippet IS NOT NULL)),
+        r AS (SELECT book_title, k FROM l WHERE length(k) >= 30 GROUP BY 1, 2 HAVING count(DISTINCT idx) >= 8)
+        SELECT DISTINCT idx, CAST(line_no AS INTEGER) AS line_no FROM l JOIN r USING (book_title, k)""",
+    "p6_found": "SELECT DISTINCT idx FROM metadata WHERE length(snippet) > 1200",
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}

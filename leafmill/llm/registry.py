@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from . import boilerplate, splitting, tokens
+from . import boilerplate, lookalikes, splitting, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pieces(spark, d).filter("piece_no = 0").select("idx").distinct()
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.changed_values(table(spark, d, "metadata"), ["snippet", "book_title"], "idx")
+
+
+def p7_unified(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.unify(table(spark, d, "metadata"), ["book_title", "snippet"], ["idx"])
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
@@ -44,7 +52,7 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     return tokens.decode(tokens.encode(table(spark, d, "documents")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_blocks, p2_clean, p6_found, p6_pieces, p8_ids, p8_decoded)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_blocks, p2_clean, p6_found, p6_pieces, p7_found, p7_unified, p8_ids, p8_decoded)}
 
 ORACLES: dict[str, str] = {
     "p2_found": r"""

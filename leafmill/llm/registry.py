@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from . import boilerplate, lookalikes, splitting, tokens
+from . import boilerplate, lookalikes, splitting, tokens, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,7 +52,15 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     return tokens.decode(tokens.encode(table(spark, d, "documents")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_blocks, p2_clean, p6_found, p6_pieces, p7_found, p7_unified, p8_ids, p8_decoded)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "documents")).filter("is_cut").select("doc_id").distinct()
+
+
+def p10_report(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_report(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_blocks, p2_clean, p6_found, p6_pieces, p7_found, p7_unified, p8_ids, p8_decoded, p10_found, p10_report)}
 
 ORACLES: dict[str, str] = {
     "p2_found": r"""

@@ -7,11 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from . import boilerplate, lookalikes, splitting, tokens, truncation
+from . import boilerplate, lookalikes, neighbours, splitting, tokens, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, d, "vectors")).select(F.col("a").alias("idx_a"), F.col("b").alias("idx_b"))
+
+
+def p1_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest among all vectors, for every vector whose idx is divisible by 50."""
+    vectors = table(spark, d, "vectors")
+    found = neighbours.nearest(vectors, vectors.filter("idx % 50 = 0"))
+    return found.select(F.col("id").alias("idx"), "rank", "neighbour", F.round("cosine", 4).alias("cosine"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.repeated_lines(table(spark, d, "metadata"), "idx", "book_title", "snippet").select("idx", "line_no")
 
@@ -60,9 +71,12 @@ def p10_report(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_report(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_blocks, p2_clean, p6_found, p6_pieces, p7_found, p7_unified, p8_ids, p8_decoded, p10_found, p10_report)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_blocks, p2_clean, p6_found, p6_pieces, p7_found, p7_unified, p8_ids, p8_decoded, p10_found, p10_report)}
 
 ORACLES: dict[str, str] = {
+    "p1_found": """
+        WITH v AS (SELECT DISTINCT idx, embedding FROM vectors WHERE embedding IS NOT NULL AND list_aggregate(list_transform(embedding, x -> abs(x)), 'max') > 0)
+        SELECT DISTINCT a.idx AS idx_a, b.idx AS idx_b FROM v a JOIN v b ON a.idx < b.idx AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.9""",
     "p2_found": r"""
         WITH l AS (
           SELECT idx, book_title, line_no, regexp_replace(lower(line), '\P{L}+', '', 'g') AS k

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from . import boilerplate, lookalikes, neardup, neighbours, splitting, tokens, truncation
+from . import boilerplate, lookalikes, neardup, neighbours, sentences, splitting, tokens, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,16 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.remove_repeated_lines(table(spark, d, "metadata"), "idx", "book_title", "snippet")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    chosen = table(spark, d, "sentence_sample").select("idx").distinct()
+    snippets = table(spark, d, "metadata").select("idx", "snippet").join(chosen, "idx", "left_semi")
+    return sentences.split_sentences(snippets, "snippet", ["idx"], with_text=False).select("idx", "end_pos").distinct()
+
+
+def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, d, "metadata"), "snippet", ["idx"])
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_pairs(table(spark, d, "metadata"), "idx", "snippet").select(F.col("a").alias("idx_a"), F.col("b").alias("idx_b"))
 
@@ -79,7 +89,7 @@ def p10_report(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_report(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_blocks, p2_clean, p5_found, p5_groups, p6_found, p6_pieces, p7_found, p7_unified, p8_ids, p8_decoded, p10_found, p10_report)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_blocks, p2_clean, p3_found, p3_sentences, p5_found, p5_groups, p6_found, p6_pieces, p7_found, p7_unified, p8_ids, p8_decoded, p10_found, p10_report)}
 
 ORACLES: dict[str, str] = {
     "p1_found": """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from . import boilerplate, lookalikes, neardup, neighbours, sentences, splitting, tokens, truncation
+from . import boilerplate, lookalikes, mixing, neardup, neighbours, sentences, splitting, tokens, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,6 +81,27 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     return tokens.decode(tokens.encode(table(spark, d, "documents")))
 
 
+def _mixed(spark: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, d, "mix_targets")
+    sized = mixing.counted(table(spark, d, "documents"), targets)
+    total = sized.agg(F.sum("n_tokens")).first()[0] if whole else None
+    return mixing.mix(sized, targets, total=total), targets
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0].withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached shares of the largest mix that reaches every target."""
+    return mixing.reached(*_mixed(spark, d))
+
+
+def p9_shares_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same for a mix as large as the target sources are, where some source may run short."""
+    return mixing.reached(*_mixed(spark, d, whole=True))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncated(table(spark, d, "documents")).filter("is_cut").select("doc_id").distinct()
 
@@ -89,7 +110,7 @@ def p10_report(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_report(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_blocks, p2_clean, p3_found, p3_sentences, p5_found, p5_groups, p6_found, p6_pieces, p7_found, p7_unified, p8_ids, p8_decoded, p10_found, p10_report)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_blocks, p2_clean, p3_found, p3_sentences, p5_found, p5_groups, p6_found, p6_pieces, p7_found, p7_unified, p8_ids, p8_decoded, p9_mix, p9_shares, p9_shares_whole, p10_found, p10_report)}
 
 ORACLES: dict[str, str] = {
     "p1_found": """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from . import boilerplate, lookalikes, mixing, neardup, neighbours, sentences, splitting, tokens, truncation
+from . import boilerplate, lookalikes, mixing, neardup, neighbours, scan_repair, sentences, splitting, tokens, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +48,14 @@ def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(table(spark, d, "metadata"), "snippet", ["idx"])
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_repair.noise_kinds(table(spark, d, "metadata"), "idx", "snippet", "chapter_name")
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scan_repair.repair(table(spark, d, "metadata"), "idx", "snippet", "chapter_name")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_pairs(table(spark, d, "metadata"), "idx", "snippet").select(F.col("a").alias("idx_a"), F.col("b").alias("idx_b"))
 
@@ -110,7 +118,7 @@ def p10_report(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_report(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_blocks, p2_clean, p3_found, p3_sentences, p5_found, p5_groups, p6_found, p6_pieces, p7_found, p7_unified, p8_ids, p8_decoded, p9_mix, p9_shares, p9_shares_whole, p10_found, p10_report)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_blocks, p2_clean, p3_found, p3_sentences, p4_found, p4_repaired, p5_found, p5_groups, p6_found, p6_pieces, p7_found, p7_unified, p8_ids, p8_decoded, p9_mix, p9_shares, p9_shares_whole, p10_found, p10_report)}
 
 ORACLES: dict[str, str] = {
     "p1_found": """

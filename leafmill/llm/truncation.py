@@ -14,7 +14,11 @@ each counted; ties don't matter, as every length is tested for itself.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
 #: A spike has at least so many texts, and so many times what the lengths around it have on average.
 MIN_SPIKE = 5
@@ -29,44 +33,61 @@ CLOSERS = "\"'”’»«“„‟)\\]）」』》›*_~"
 TERMINAL = r".!?。！？।॥؟։።፧။…‽"
 
 
-def _tail(text: Column) -> Column:
-    """The end of a text without trailing blanks, signs and note marks, as far back as any rule looks."""
-    stripped = F.regexp_replace(F.right(F.regexp_replace(text, r"[\s\p{Z}\x{200B}\x{FEFF}]+$", ""), F.lit(400)), r"(?:[\s\p{Z}]*(?:\[\d{1,3}\]|[\p{So}\p{Sk}\x{200D}\x{FE0F}&&[^\x{FFFD}\x{FFFC}]]))+$", "")
-    return F.regexp_replace(stripped, r"[\s\p{Z}]+$", "")
+#: Blanks that may follow a text.
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200C))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: Characters before the end that any rule looks at.
+TAIL = 400
+
+
+@lru_cache(maxsize=1)
+def _patterns() -> dict:
+    import regex
+
+    made = {
+        "signs": rf"(?:[{BLANKS}]*(?:\[\d{{1,3}}\]|[\p{{So}}\p{{Sk}}\u200d\ufe0f--[\ufffd\ufffc]]))+$",
+        "letters": r"[\p{L}\p{N}]",
+        "colophon": r"^(?:\(.*\)|[—–―-].*[—–―-]|[—–―]\s*\p{Lu}[\p{L}\p{M}.'’ -]*,\s*\p{L}+\s+\d+|.*\.{3,}\s*\d+)$",
+        "numbered": r"^\p{Lu}[^.!?;:]*\s\d+$",
+        "line_ended": rf"(?:[{TERMINAL};\]]|[^\p{{L}}\p{{N}}\p{{M}},])[{CLOSERS}]*$",
+        "greek": rf"\p{{Greek}}[{CLOSERS}]*[;·][{CLOSERS}]*$",
+        "terminal": rf"[{TERMINAL}][{CLOSERS}]*$",
+        "ellipsis": rf"(?:^|[^.!?…。！？।])\s*(?:\.\.\.|…)[{CLOSERS}]*$",
+        "shortened": rf"(?:(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{INNER_ABBREVIATIONS}|\p{{Lu}})\.|(?:^|[\s(])\d{{1,3}}\.)$",
+        "paren_open": r"\((?:[^()\n]|\n(?!\s*\n))*$",
+        "paragraph": r"\n\s*\n",
+        "signature": r"^[—–―]\s*\p{Lu}[\p{L}\p{M}.'’-]+(?:\s+\p{Lu}[\p{L}\p{M}.'’-]*){0,3}$",
+        "heading": r"^\p{Lu}[\p{Lu}\p{N}\p{M}\s\p{P}]*$",
+    }
+    return {name: regex.compile("(?V1)" + pattern).search for name, pattern in made.items()}
 
 
-def _state(tail: Column) -> Column:
+def ending(tail: str) -> str:
     """'ended', 'cut', or 'open' for a last line that may be complete without a terminal mark."""
-    line = F.regexp_extract(tail, r"([^\n\r]*)$", 1)
-    own = F.trim(line)
-    before = F.regexp_extract(tail, r"(?s)^(.*)[\n\r][^\n\r]*$", 1)
-    ended_before = (before == "") | F.regexp_replace(before, r"[\s\p{Z}]+$", "").rlike(rf"(?:[{TERMINAL};\]]|[^\p{{L}}\p{{N}}\p{{M}},])[{CLOSERS}]*$")
-    words = F.size(F.split(own, r"\s+"))
-    has_line_before = tail.rlike(r"[\n\r]")
-    no_letters = ~own.rlike(r"[\p{L}\p{N}]")
-    colophon = (
-        own.rlike(r"^\(.*\)$")
-        | own.rlike(r"^[—–―-].*[—–―-]$")
-        | own.rlike(r"^[—–―]\s*\p{Lu}[\p{L}\p{M}.'’ -]*,\s*\p{L}+\s+\d+$")
-        | own.rlike(r"\.{3,}\s*\d+$")
-        | (own.rlike(r"^\p{Lu}[^.!?;:]*\s\d+$") & (words <= 9) & has_line_before & ended_before)
-    )
-    quote_open = F.length(F.regexp_replace(tail, "[^“]", "")) > F.length(F.regexp_replace(tail, "[^”]", ""))
-    last_quote_open = tail.rlike("“[^”]*$") & ~tail.contains("„") & quote_open & ~tail.rlike(r"“[^”]*\n\s*\n[^”]*$")
-    paren_open = tail.rlike(r"\((?:[^()\n]|\n(?!\s*\n))*$")
-    greek = tail.rlike(r"\p{IsGreek}[" + CLOSERS + r"]*[;·][" + CLOSERS + r"]*$")
-    terminal = tail.rlike(rf"[{TERMINAL}][{CLOSERS}]*$") | greek
-    ellipsis = tail.rlike(r"(?:^|[^.!?…。！？।])\s*(?:\.\.\.|…)[" + CLOSERS + r"]*$")
-    shortened = tail.rlike(rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{INNER_ABBREVIATIONS}|\p{{Lu}})\.$") | tail.rlike(r"(?:^|[\s(])\d{1,3}\.$")
-    signature = own.rlike(r"^[—–―]\s*\p{Lu}[\p{L}\p{M}.'’-]+(?:\s+\p{Lu}[\p{L}\p{M}.'’-]*){0,3}$") & ended_before
-    heading = own.rlike(r"^\p{Lu}[\p{Lu}\p{N}\p{M}\s\p{P}]*$") & (words >= 2) & has_line_before & ended_before
-    return (
-        F.when(no_letters & has_line_before, F.when(own.rlike("[�]"), "cut").otherwise("ended"))
-        .when(colophon, "ended")
-        .when(terminal, F.when(ellipsis | shortened | last_quote_open | paren_open, "cut").otherwise("ended"))
-        .when(signature | heading, "open")
-        .otherwise("cut")
-    )
+    match = _patterns()
+    tail = match["signs"](tail) and tail[: match["signs"](tail).start()].rstrip(BLANKS) or tail
+    before, _, own = tail.replace("\r", "\n").rpartition("\n")
+    before, own = before.rstrip(BLANKS), own.strip(BLANKS)
+    lines, words = "\n" in tail or "\r" in tail, len(own.split())
+    ended_before = not before or bool(match["line_ended"](before))
+    if not match["letters"](own) and lines:
+        return "cut" if "\ufffd" in own else "ended"
+    if match["colophon"](own) or (lines and ended_before and words <= 9 and match["numbered"](own)):
+        return "ended"
+    if match["terminal"](tail) or match["greek"](tail):
+        quote = tail.rfind("“")
+        quote_open = quote > tail.rfind("”") and "„" not in tail and tail.count("“") > tail.count("”") and not match["paragraph"](tail, quote)
+        return "cut" if quote_open or match["ellipsis"](tail) or match["shortened"](tail) or match["paren_open"](tail) else "ended"
+    if ended_before and (match["signature"](own) or (words >= 2 and lines and match["heading"](own))):
+        return "open"
+    return "cut"
+
+
+def _judge(schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(map(ending, batch.columns[-1].to_pylist()), pa.string())], schema=schema)
+
+    return run
 
 
 def length_spikes(docs: DataFrame, source_col: str, text_col: str) -> DataFrame:
@@ -82,10 +103,13 @@ def length_spikes(docs: DataFrame, source_col: str, text_col: str) -> DataFrame:
 
 def truncated(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """(id_col, source_col, at_spike, is_cut) for every row with a word in its text."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     texts = docs.select(id_col, source_col, text_col).filter(F.col(text_col).rlike(r"[\p{L}\p{N}]"))
-    judged = texts.select(id_col, source_col, F.length(text_col).alias("chars"), F.octet_length(text_col).alias("bytes"), _tail(F.col(text_col)).alias("tail")).withColumn("state", _state(F.col("tail")))
-    spikes = length_spikes(docs, source_col, text_col).groupBy("source").agg(F.collect_set(F.struct("unit", "length")).alias("spikes"))
-    joined = judged.join(spikes, judged[source_col].eqNullSafe(spikes["source"]), "left")
+    tails = texts.select(id_col, source_col, F.length(text_col).alias("chars"), F.octet_length(text_col).alias("bytes"), F.right(F.rtrim(text_col, F.lit(BLANKS)), F.lit(TAIL)).alias("state"))
+    judged = tails.mapInArrow(_judge(to_arrow_schema(tails.schema)), tails.schema)
+    spikes = length_spikes(docs, source_col, text_col).groupBy(F.col("source").alias("__source")).agg(F.collect_set(F.struct("unit", "length")).alias("spikes"))
+    joined = judged.join(spikes, F.col(source_col).eqNullSafe(F.col("__source")), "left")
     at = F.coalesce(F.array_contains("spikes", F.struct(F.lit("characters").alias("unit"), F.col("chars").alias("length"))) | F.array_contains("spikes", F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length"))), F.lit(False))
     return joined.select(id_col, source_col, at.alias("at_spike"), ((F.col("state") == "cut") | ((F.col("state") == "open") & at)).alias("is_cut"))
 

@@ -1,13 +1,17 @@
-"""Near-duplicate texts: groups and pairs whose sets of word shingles overlap enough, without any loss.
+"""Near-duplicate texts: groups and pairs whose sets of word shingles overlap enough.
 
 A BK-tree over Hamming distances cannot carry this: see ``bk_tree_visits`` and the README. At a Jaccard threshold of 0.6
 the radius that loses no pair is about half of the distance between unrelated texts, and the triangle inequality then
-excludes no edge. What is used instead is exact as well:
-
-1. Shingles are counted over the whole corpus in a hashed histogram of fixed size, which orders them from rare to common.
-2. Two texts that overlap enough share at least ``SHARED`` of their rarest shingles (the prefix of the ordered set that
+excludes no edge. What is used instead:
+
+1. Candidates are sought by longer shingles (``SEARCH`` words), as short ones recur by chance in more and more pairs of
+   unrelated texts as a collection grows. An edit that costs a text r >= 2 neighbouring shingles of three words costs it
+   at most 2r of five words, so texts that overlap by a share t in the short ones overlap by (3t - 1) / (1 + t) of the
+   larger set in the long ones. Below a threshold of 0.5 the short shingles are used for the search themselves.
+2. Shingles are counted over the whole corpus in a hashed histogram of fixed size, which orders them from rare to common.
+3. Two texts that overlap enough share at least ``SHARED`` of their rarest shingles (the prefix of the ordered set that
    the threshold allows to be missed, and a few more). Texts meet in buckets by those shingles only.
-3. Pairs that met often enough are checked exactly on their whole sets.
+4. Pairs that met often enough are checked exactly on their whole sets of short shingles.
 
 Texts with one and the same set are one class, known by a hash of the set: a class meets others once a batch, never once
 a copy, so copies of one text cannot make a bucket large. A shingle that more than ``HOT`` texts share is split over
@@ -31,6 +35,7 @@ from ..sources.scratch import materialize
 from ._graph import connected_components
 
 SHINGLE = 3
+SEARCH = 5
 THRESHOLD = 0.6
 MIN_WORDS = 20
 #: Rare shingles that two texts have to share before they are compared.
@@ -301,19 +306,27 @@ def _check(threshold: float):
     return run
 
 
+def _search_by(shingle: int, threshold: float, min_words: int) -> tuple[int, float]:
+    """The length of the shingles that candidates are sought by, and the share of them that two texts have in common."""
+    if threshold < 0.5 or not shingle < SEARCH <= min_words or SEARCH - shingle > 2:
+        return shingle, threshold
+    return SEARCH, (3 * threshold - 1) / (1 + threshold)
+
+
 def class_links(docs: DataFrame, id_col: str, text_col: str, *, threshold: float = THRESHOLD, shingle: int = SHINGLE, min_words: int = MIN_WORDS, shared: int = SHARED) -> tuple[DataFrame, DataFrame]:
     """(members, links): (id, class) of every text with enough words, and (a, b, similarity) of classes that overlap enough."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
     spark = docs.sparkSession
+    search, share = _search_by(shingle, threshold, min_words)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & F.col("text").isNotNull())
-    survey = materialize(texts.mapInArrow(_survey(shingle, min_words, CELLS), "kind int, id bigint, class bigint, n int, chunk int, cells binary"), "shingle-survey", ["kind"])
+    survey = materialize(texts.mapInArrow(_survey(search, min_words, CELLS), "kind int, id bigint, class bigint, n int, chunk int, cells binary"), "shingle-survey", ["kind"])
     counts = _histogram(survey.filter("kind = 1").select("chunk", "cells"), CELLS)
     members = survey.filter("kind = 0").select("id", "class")
-    per_text = int(counts.sum(dtype=np.uint64)) * (1 - threshold) + shared * 1.0
+    per_text = int(counts.sum(dtype=np.uint64)) * (1 - share)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(per_text / BUCKET_ROWS))
-    met = texts.select("id", "text").mapInArrow(_emit(shingle, min_words, counts, threshold, shared, buckets), "bucket int, rows binary")
-    met = met.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(threshold, shared), "a bigint, b bigint, need int, met int")
+    met = texts.select("id", "text").mapInArrow(_emit(search, min_words, counts, share, shared, buckets), "bucket int, rows binary")
+    met = met.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(share, shared), "a bigint, b bigint, need int, met int")
     candidates = materialize(met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("need").alias("need")).filter("met >= need").select("a", "b"), "shingle-candidates")
     holders = members.join(candidates.select(F.col("a").alias("class")).union(candidates.select(F.col("b").alias("class"))).distinct(), "class", "left_semi").groupBy("class").agg(F.min("id").alias("id"))
     holders = materialize(holders, "shingle-holders")

@@ -122,8 +122,8 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_nearest, p2_fo
 
 ORACLES: dict[str, str] = {
     "p1_found": """
-        WITH v AS (SELECT DISTINCT idx, embedding FROM vectors WHERE embedding IS NOT NULL AND list_aggregate(list_transform(embedding, x -> abs(x)), 'max') > 0)
-        SELECT DISTINCT a.idx AS idx_a, b.idx AS idx_b FROM v a JOIN v b ON a.idx < b.idx AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.9""",
+        WITH v AS MATERIALIZED (SELECT DISTINCT idx, embedding::DOUBLE[] AS e FROM vectors WHERE embedding IS NOT NULL), u AS MATERIALIZED (SELECT * FROM v WHERE list_inner_product(e, e) > 0)
+        SELECT DISTINCT a.idx AS idx_a, b.idx AS idx_b FROM u a JOIN u b ON a.idx < b.idx AND list_cosine_similarity(a.e, b.e) >= 0.9""",
     "p2_found": r"""
         WITH l AS (
           SELECT idx, book_title, line_no, regexp_replace(lower(line), '\P{L}+', '', 'g') AS k
@@ -131,6 +131,12 @@ ORACLES: dict[str, str] = {
                 FROM metadata WHERE book_title IS NOT NULL AND snippet IS NOT NULL)),
         r AS (SELECT book_title, k FROM l WHERE length(k) >= 30 GROUP BY 1, 2 HAVING count(DISTINCT idx) >= 8)
         SELECT DISTINCT idx, CAST(line_no AS INTEGER) AS line_no FROM l JOIN r USING (book_title, k)""",
+    "p5_found": r"""
+        WITH w AS (SELECT idx, regexp_split_to_array(trim(regexp_replace(lower(snippet), '[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')), ' ') AS w FROM metadata WHERE snippet IS NOT NULL),
+        s AS (SELECT DISTINCT idx, unnest(list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2]))) AS t FROM w WHERE len(w) >= 20),
+        n AS (SELECT idx, count(*) AS n FROM s GROUP BY 1),
+        c AS (SELECT a.idx AS idx_a, b.idx AS idx_b, count(*) AS c FROM s a JOIN s b ON a.t = b.t AND a.idx < b.idx GROUP BY 1, 2)
+        SELECT idx_a, idx_b FROM c JOIN n x ON x.idx = idx_a JOIN n y ON y.idx = idx_b WHERE c >= 0.6 * (x.n + y.n - c)""",
     "p6_found": "SELECT DISTINCT idx FROM metadata WHERE length(snippet) > 1200",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

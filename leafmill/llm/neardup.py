@@ -229,7 +229,10 @@ def _meet(threshold: float, shared: int):
     """Pairs of classes that share shingles within a bucket, with how many. Output leaves in bounded pieces."""
 
     def pieces(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rows = np.unique(rows)
+        rows = rows[np.lexsort((rows["side"], rows["class"], rows["shingle"]))]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows["shingle"][1:] != rows["shingle"][:-1]) | (rows["class"][1:] != rows["class"][:-1]) | (rows["side"][1:] != rows["side"][:-1])
+        rows = rows[new]
         alike = np.flatnonzero(rows["shingle"][1:] == rows["shingle"][:-1])
         got, size, step = [], 0, 1
         while len(alike):
@@ -250,7 +253,11 @@ def _meet(threshold: float, shared: int):
             yield tally(np.concatenate(got))
 
     def tally(pairs: np.ndarray) -> pa.RecordBatch:
-        unique, n = np.unique(pairs, return_counts=True)
+        pairs = pairs[np.lexsort((pairs["b"], pairs["a"]))]
+        first = np.ones(len(pairs), bool)
+        first[1:] = (pairs["a"][1:] != pairs["a"][:-1]) | (pairs["b"][1:] != pairs["b"][:-1])
+        at = np.flatnonzero(first)
+        unique, n = pairs[at], np.diff(np.append(at, len(pairs)))
         return pa.RecordBatch.from_arrays([pa.array(unique["a"]), pa.array(unique["b"]), pa.array(unique["need"]), pa.array(n.astype(np.int32))], names=["a", "b", "need", "met"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -147,13 +147,13 @@ def _shard_pairs(dimension: int, least: float, slack: float):
 
 def _dimension(vectors: DataFrame, vector_col: str) -> int:
     row = vectors.filter(F.col(vector_col).isNotNull()).groupBy(F.size(vector_col).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return row["d"] if row else 0
+    return max(1, row["d"]) if row else 1
 
 
 def _fit(packed: DataFrame, dimension: int, trees: int, seed: int, n: int) -> tuple[Forest, np.ndarray]:
     """The routing forest and the sample that it was fitted on: the vectors with the lowest hashes of their ids."""
     share = min(1.0, SAMPLE / max(n, 1))
-    chosen = packed.filter(F.xxhash64("id", F.lit(seed)) % 1_000_003 <= int(1_000_003 * share)) if share < 1 else packed
+    chosen = packed.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_003)) <= int(1_000_003 * share)) if share < 1 else packed
     sample = _unpack(pa.array([r["vec"] for r in chosen.select("vec").limit(2 * SAMPLE).collect()], pa.binary()), dimension)
     depth = max(0, min(MAX_DEPTH, math.ceil(math.log2(max(1, n / LEAF_ROWS)))))
     return Forest(sample, depth if len(sample) > 1 else 0, trees, seed), sample

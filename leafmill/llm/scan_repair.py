@@ -376,7 +376,8 @@ def repair_text(text: str, findings: list[tuple[str, str, str]]) -> str:
         elif not out or out.endswith("\n"):
             out += stripped
         else:
-            out += (" " if _continues(lines[k - 1], line, widest) else "\n") + stripped
+            hyphen = out[-1] in "-‐" and out[-2:-1].isalpha() and stripped[0].islower()  # a compound, cut at its own hyphen
+            out += ("" if hyphen else " " if _continues(lines[k - 1], line, widest) else "\n") + stripped
     return out.rstrip()
 
 

@@ -2,8 +2,10 @@
 
 Words are counted over the whole corpus. A word meets its candidates, which are far more frequent, in an inverted join
 of positional character q-grams; gradient-boosted trees, trained on words that were misread on purpose, score each
-candidate, and the best one above ``ACCEPT`` is the correction. Line breaks and furniture are decided by pairs of lines
-and by what the corpus says of the joined and of the hyphenated word.
+candidate, and the best one above ``ACCEPT`` is the correction. Two classifiers of the same kind look at pairs of lines: a
+line and a title (is it furniture?), and the two sides of a line end (is the word divided, or a compound?), the latter by
+what the corpus says of the joined and of the hyphenated word. Both are trained on the corpus itself: titles spoiled on
+purpose against lines of text, frequent words divided on purpose against compounds.
 
 Defined results: null and empty texts have no noise and stay as they are; a null or empty chapter has no header; words of
 more than ``LONGEST`` characters are never corrected; the first and last word of a text may be halves and are corrected
@@ -70,23 +72,101 @@ def _regexes():
     }
 
 
-def _alike(line: str, title: str) -> bool:
-    """Whether a line repeats a title, exactly or with a few other characters."""
+def line_features(line: str, title: str, always: bool = False) -> tuple[float, ...] | None:
+    """What the furniture classifier sees of a line and a title; None where they have too little in common to be asked, unless ``always``."""
     a, b = line.casefold(), title.casefold()
     if a == b:
-        return True
+        return (1.0, 1.0, 1.0)
     a, b = "".join(filter(str.isalnum, a)), "".join(filter(str.isalnum, b))
-    if not b or not 0.75 <= len(a) / len(b) <= 1.34:
-        return False
+    if not b or not always and not 0.6 <= len(a) / len(b) <= 1.67:
+        return None
     if a == b:
-        return True
+        return (1.0, 1.0, 1.0)
     grams = {b[i : i + 2] for i in range(len(b) - 1)}
-    shared = sum(a[i : i + 2] in grams for i in range(len(a) - 1))
-    if shared < 0.6 * max(1, len(a) - 1):
-        return False
+    shared = sum(a[i : i + 2] in grams for i in range(len(a) - 1)) / max(1, len(a) - 1)
+    if shared < 0.4 and not always:
+        return None
     import difflib
 
-    return difflib.SequenceMatcher(None, a, b, False).ratio() >= 0.8
+    return (round(difflib.SequenceMatcher(None, a, b, False).ratio(), 2), round(len(a) / len(b), 1), round(shared, 1))
+
+
+class Alike:
+    """Whether a line repeats a title, exactly or with a few other characters: boosted trees, asked once for each set of features."""
+
+    def __init__(self, model: BoostedTrees) -> None:
+        self.model, self.known = model, {}
+
+    def __call__(self, line: str, title: str) -> bool:
+        seen = line_features(line, title)
+        if seen is None:
+            return False
+        if seen not in self.known:
+            self.known[seen] = bool(self.model.predict(np.array([seen]))[0] >= ACCEPT)
+        return self.known[seen]
+
+
+def train_furniture(titles: list[str], lines: list[str], seed: int = 12) -> Alike:
+    """The classifier of lines, trained on titles with misread, lost and added characters against lines of text and other titles."""
+    random = np.random.default_rng(seed)
+    titles = [t for t in titles if len(t) >= 8] or ["The First Chapter", "Of Other Things"]
+    rows, labels = [(1.0, 1.0, 1.0)], [1.0]
+    for t in titles:
+        for spoiled in (1, 2, 3):
+            text = t
+            for _ in range(spoiled):
+                right, wrong = CONFUSIONS[random.integers(len(CONFUSIONS))]
+                k = int(random.integers(len(text)))
+                text = text.replace(right, wrong, 1) if random.random() < 0.7 else text[:k] + text[k + 1 :]
+            rows.append(line_features(text, t, True))
+            labels.append(1.0)
+        for other in (titles[random.integers(len(titles))], *(lines[random.integers(len(lines))] for _ in range(min(3, len(lines))))):
+            if other.casefold() != t.casefold():
+                rows.append(line_features(other, t, True))
+                labels.append(0.0)
+    return Alike(BoostedTrees(rounds=30).fit(np.array(rows), np.array(labels)))
+
+
+def join_features(n_whole: int, n_apart: int, mark: str, corrected: bool) -> tuple[float, ...]:
+    """What the classifier of line ends sees: how often the corpus has the whole and the hyphenated word, the mark, and whether a line ends there."""
+    return (round(float(np.log1p(n_whole)), 1), round(float(np.log1p(n_apart)), 1), float(np.sign(n_whole - n_apart)), float(mark[:1] == "-"), float(mark[1:] == "\n"), float(corrected))
+
+
+def train_joins(frequent: list[tuple[str, int]], compounds: list[tuple[str, int]], seed: int = 13) -> BoostedTrees:
+    """The classifier of line ends, trained on frequent and on unseen words divided on purpose against compounds and hanging hyphens."""
+    random = np.random.default_rng(seed)
+    rows, labels = [], []
+    for n in [n for _, n in frequent] or [20, 50, 200]:
+        for mark in MARKS:
+            for gap in "\n ":
+                rows += [join_features(n, 0, mark + gap, False), join_features(0, 0, mark + gap, True)]
+                labels += [1.0, 1.0]
+                rows.append(join_features(0, 0, mark + gap, False))
+                labels.append(float(gap == "\n" or mark != "-"))
+                rows.append(join_features(n, int(random.integers(0, max(1, n // 4))), mark + gap, False))
+                labels.append(1.0)
+    for n in [n for _, n in compounds] or [2, 5, 20]:
+        for mark in MARKS:
+            for gap in "\n ":
+                for whole in (0, int(random.integers(0, max(1, n // 4)))):
+                    rows.append(join_features(whole, n, mark + gap, False))
+                    labels.append(0.0)
+    return BoostedTrees(rounds=40).fit(np.array(rows), np.array(labels))
+
+
+def _joined(model: BoostedTrees):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        for batch in batches:
+            keep = []
+            for whole, apart, mark, corrected in zip(*(batch.column(c).to_pylist() for c in ("n_whole", "n_apart", "mark", "corrected"))):
+                seen = join_features(whole, apart, mark, corrected)
+                if seen not in known:
+                    known[seen] = bool(model.predict(np.array([seen]))[0] >= ACCEPT)
+                keep.append(known[seen])
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["id", "kind", "a", "b"])
+
+    return run
 
 
 def titles_of(chapter: str | None) -> list[str]:
@@ -98,7 +178,7 @@ def titles_of(chapter: str | None) -> list[str]:
     return [t for t in dict.fromkeys(found) if len(t) >= 3]
 
 
-def furniture(line: str, titles: list[str]) -> tuple[bool, bool]:
+def furniture(line: str, titles: list[str], alike) -> tuple[bool, bool]:
     """(header, page_number): what a line holds."""
     stripped = line.strip()
     if not stripped:
@@ -110,16 +190,16 @@ def furniture(line: str, titles: list[str]) -> tuple[bool, bool]:
     if not longest or len(stripped) > 2 * longest + 24:
         return False, False
     for t in titles:
-        if _alike(stripped, t):
+        if alike(stripped, t):
             rest = None
             for side in ("before", "after"):
                 m = match[side].search(stripped)
-                if m and _alike(stripped[: m.start()] + stripped[m.end() :], t) and not any(ch.isdigit() for ch in t):
+                if m and alike(stripped[: m.start()] + stripped[m.end() :], t) and not any(ch.isdigit() for ch in t):
                     rest = m
             return True, rest is not None
         for side in ("before", "after"):
             m = match[side].search(stripped)
-            if m and _alike((stripped[: m.start()] + stripped[m.end() :]).strip(" |—–-"), t):
+            if m and alike((stripped[: m.start()] + stripped[m.end() :]).strip(" |—–-"), t):
                 return True, True
     return False, False
 
@@ -248,14 +328,14 @@ def _mark_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _chunks(cells)
 
 
-def suspects(text: str, chapter: str | None, asked) -> list[tuple[str, str, str, str]]:
+def suspects(text: str, chapter: str | None, asked, alike) -> list[tuple[str, str, str, str]]:
     """(kind, a, b, mark) of one text: furniture lines, divided words with their two readings, and words to look up."""
     found: list[tuple[str, str, str, str]] = []
     body = text
     if "\n" in text:
         titles, kept = titles_of(chapter), []
         for k, line in enumerate(text.split("\n")):
-            header, number = furniture(line, titles)
+            header, number = furniture(line, titles, alike)
             if header:
                 found.append(("header", str(k), "", ""))
             if number:
@@ -304,7 +384,7 @@ class Asked:
         return answer
 
 
-def _find(marked: bytes, id_type: pa.DataType):
+def _find(marked: bytes, alike: Alike, id_type: pa.DataType):
     names = ["id", "kind", "a", "b", "mark"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +392,7 @@ def _find(marked: bytes, id_type: pa.DataType):
         for batch in batches:
             rows, found = [], []
             for i, (text, chapter) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                got = list(dict.fromkeys(suspects(text, chapter, asked)))
+                got = list(dict.fromkeys(suspects(text, chapter, asked, alike)))
                 rows += [i] * len(got)
                 found += got
             cols = list(zip(*found)) if found else [(), (), (), ()]
@@ -330,15 +410,28 @@ def noise(docs: DataFrame, id_col: str, text_col: str, chapter_col: str) -> Data
     counts = word_counts(texts, "text")
     table = corrections(counts)
     marked = np.packbits(_histogram(table.select("word").mapInArrow(_mark_words, "chunk int, cells binary"), FILTER) > 0).tobytes()
-    kind = texts.schema["id"].dataType
-    found = materialize(texts.mapInArrow(_find(marked, to_arrow_type(kind)), f"id {kind.simpleString()}, kind string, a string, b string, mark string"), "scan-noise")
+    kind, alike = texts.schema["id"].dataType, _train_furniture_on(texts)
+    found = materialize(texts.mapInArrow(_find(marked, alike, to_arrow_type(kind)), f"id {kind.simpleString()}, kind string, a string, b string, mark string"), "scan-noise")
     lines = found.filter(F.col("kind").isin("header", "page_number")).select("id", "kind", "a", "b")
     read = found.filter("kind = 'misread'").select("id", "kind", "a").join(table.select(F.col("word").alias("a"), F.col("correction").alias("b")), "a").select("id", "kind", "a", "b")
     whole, apart = counts.select(F.col("word").alias("a"), F.col("n").alias("n_whole")), counts.select(F.col("word").alias("b"), F.col("n").alias("n_apart"))
     divided = found.filter("kind = 'hyphen'").join(whole, "a", "left").join(apart, "b", "left").join(table.select(F.col("word").alias("a"), "correction"), "a", "left")
-    n_whole, n_apart = F.coalesce("n_whole", F.lit(0)), F.coalesce("n_apart", F.lit(0))
-    joins = (n_whole > n_apart) | F.col("correction").isNotNull() | ((n_apart == 0) & ((F.substring("mark", 2, 1) == "\n") | (F.substring("mark", 1, 1) != "-")))
-    return lines.unionByName(read).unionByName(divided.filter(joins).select("id", "kind", "a", "b"))
+    divided = divided.select("id", "kind", "a", "b", "mark", F.coalesce("n_whole", F.lit(0)).alias("n_whole"), F.coalesce("n_apart", F.lit(0)).alias("n_apart"), F.col("correction").isNotNull().alias("corrected"))
+    joins = divided.mapInArrow(_joined(_train_joins_on(counts)), lines.schema)
+    return lines.unionByName(read).unionByName(joins)
+
+
+def _train_joins_on(counts: DataFrame) -> BoostedTrees:
+    pick = lambda df: [(r["word"], r["n"]) for r in df.orderBy(F.xxhash64("word")).limit(TRAIN_WORDS // 3).collect()]
+    return train_joins(pick(counts.filter((F.col("n") >= MIN_FREQUENT) & F.col("word").rlike(r"^[a-z]{4,40}$"))), pick(counts.filter((F.col("n") >= 2) & F.col("word").rlike(r"^[a-z]+-[a-z]+$"))))
+
+
+def _train_furniture_on(texts: DataFrame) -> Alike:
+    """Titles and lines of the texts with the lowest hashes, ``TRAIN_WORDS`` / 3 texts at most."""
+    some = texts.filter("chapter IS NOT NULL AND chapter <> ''").select("chapter", F.substring("text", 1, 2000).alias("text"), F.xxhash64("chapter", "text").alias("h")).orderBy("h").limit(TRAIN_WORDS // 3).collect()
+    titles = list(dict.fromkeys(p.strip() for r in some for p in r["chapter"].split("|")))
+    lines = [x.strip() for r in some for x in r["text"].split("\n")[2:8] if x.strip()]
+    return train_furniture(titles, lines)
 
 
 def noise_kinds(docs: DataFrame, id_col: str, text_col: str, chapter_col: str) -> DataFrame:

@@ -15,6 +15,7 @@ repeated rows are treated each for itself.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -110,8 +111,12 @@ def train_furniture(titles: list[str], lines: list[str], seed: int = 12) -> Alik
     """The classifier of lines, trained on titles with misread, lost and added characters against lines of text and other titles."""
     random = np.random.default_rng(seed)
     titles = [t for t in titles if len(t) >= 8] or ["The First Chapter", "Of Other Things"]
+    words = [w for x in (*titles, *lines) for w in x.split()]
     rows, labels = [(1.0, 1.0, 1.0)], [1.0]
-    for t in titles:
+    for t in titles * math.ceil(100 / len(titles)):
+        mixed = " ".join(words[random.integers(len(words))] for _ in t.split())
+        rows.append(line_features(mixed, t, True))
+        labels.append(float(rows[-1][0] == 1.0))
         for spoiled in (1, 2, 3):
             text = t
             for _ in range(spoiled):
@@ -136,7 +141,7 @@ def train_joins(frequent: list[tuple[str, int]], compounds: list[tuple[str, int]
     """The classifier of line ends, trained on frequent and on unseen words divided on purpose against compounds and hanging hyphens."""
     random = np.random.default_rng(seed)
     rows, labels = [], []
-    for n in [n for _, n in frequent] or [20, 50, 200]:
+    for n in [1, 2, 4, 8, 16] * 10 + ([n for _, n in frequent] or [20, 50, 200]):
         for mark in MARKS:
             for gap in "\n ":
                 rows += [join_features(n, 0, mark + gap, False), join_features(0, 0, mark + gap, True)]
@@ -145,7 +150,7 @@ def train_joins(frequent: list[tuple[str, int]], compounds: list[tuple[str, int]
                 labels.append(float(gap == "\n" or mark != "-"))
                 rows.append(join_features(n, int(random.integers(0, max(1, n // 4))), mark + gap, False))
                 labels.append(1.0)
-    for n in [n for _, n in compounds] or [2, 5, 20]:
+    for n in [1, 2, 4, 8, 16] * 10 + [n for _, n in compounds]:
         for mark in MARKS:
             for gap in "\n ":
                 for whole in (0, int(random.integers(0, max(1, n // 4)))):

@@ -19,8 +19,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..sources.scratch import materialize
 
@@ -157,14 +158,38 @@ def token_bytes(docs: DataFrame, ranks: str = DEFAULT_RANKS) -> DataFrame:
     return docs.sparkSession.createDataFrame([(r, b) for b, r in _ranks(ranks).items()], "token int, bytes binary")
 
 
+@lru_cache(maxsize=2)
+def _bytes_by_id(path: str) -> pa.Array:
+    """The token-byte table as an array: the bytes of id i at place i, and none at the last place, for ids it doesn't have."""
+    ranks = _ranks(path)
+    table: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 2)
+    for token, rank in ranks.items():
+        table[rank] = token
+    return pa.array(table, pa.binary())
+
+
+def _decode(path: str, schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _bytes_by_id(path)
+        for batch in batches:
+            lists = batch.column(1)
+            flat = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
+            known = np.where((flat >= 0) & (flat < len(table) - 1), flat, len(table) - 1).astype(np.int64)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            whole = pc.binary_join(pa.ListArray.from_arrays(offsets, table.take(pa.array(known))), b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.decode("utf-8", "replace") for b in whole.to_pylist()], pa.string())], schema=schema)
+
+    return run
+
+
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", *, ranks: str = DEFAULT_RANKS) -> DataFrame:
-    """(id_col, text): ids joined with the token-byte table and put together by position; ``''`` for an empty list.
+    """(id_col, text): every row's ids joined with the token-byte table, in their order; '' for an empty or null list.
 
-    Ids that the vocabulary doesn't have give no bytes; bytes that are no UTF-8 become U+FFFD. ``id_col`` has to be unique.
+    The table is as large as the vocabulary and lies whole beside every task, so the join moves no row. Ids that the
+    vocabulary doesn't have give no bytes; bytes that are no UTF-8 become U+FFFD.
     """
-    tokens = encoded.select(id_col, F.posexplode(ids_col).alias("pos", "token"))
-    joined = tokens.join(F.broadcast(token_bytes(encoded, ranks)), "token")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", F.hex("bytes").alias("b"))))
-    whole: Column = F.decode(F.unhex(F.array_join(F.transform(ordered, lambda x: x["b"]), "")), "UTF-8")
-    texts = joined.groupBy(id_col).agg(whole.alias("text"))
-    return encoded.select(id_col).join(texts, id_col, "left").select(id_col, F.coalesce("text", F.lit("")).alias("text"))
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = T.StructType([T.StructField(id_col, encoded.schema[id_col].dataType), T.StructField("text", T.StringType())])
+    return encoded.select(id_col, F.col(ids_col).cast("array<int>").alias("__ids")).mapInArrow(_decode(ranks, to_arrow_schema(out)), out)

@@ -44,7 +44,8 @@ def test_counts_nulls_and_repeats(spark):
 
 def test_empty_table(spark):
     assert T.encode(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
-    assert T.decode(spark.createDataFrame([(1, [])], "doc_id bigint, ids array<int>")).collect()[0]["text"] == ""
+    got = T.decode(spark.createDataFrame([(1, []), (2, None), (None, [15496]), (3, [99_999, -1, 15496])], "doc_id bigint, ids array<int>")).collect()
+    assert [r["text"] for r in got] == ["", "", "Hello", "Hello"]
 
 
 def test_unknown_vocabulary_is_an_error(spark):

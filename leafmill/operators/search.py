@@ -98,25 +98,27 @@ def semantic_match(chunks: DataFrame, vectors: DataFrame, query: str, query_vect
     return tier.orderBy("ord").limit(top_k) if overfetch is not None else tier
 
 
-def search(chunks: DataFrame, vectors: DataFrame, request: Request, query_vector=None, *, promote: bool = False, metric: str = "ip", kind: str | None = "lines") -> DataFrame:
+def search(chunks: DataFrame, vectors: DataFrame, request: Request, query_vector=None, *, promote: bool = False, metric: str = "ip", kind: str | None = "lines", order: str | None = None, keep_ids: bool = False) -> DataFrame:
     """Q4: the ordered results of a request, at most top_k; an unknown search type has none. ``promote`` puts rows with all
-    words that are also near into tier 2 (J4)."""
+    words that are also near into tier 2 (J4); ``order`` names another order of ``tier_order`` (Q5, Q6: 'l2'). Mode 'all'
+    keeps idx and ord, which pages are cut by; the others drop them (F19) unless ``keep_ids``."""
     mode, k = request.search_type, request.top_k
-    order = R.tier_order("l2" if metric == "l2" and mode in ("all", "semantic") else mode) if mode in SEARCH_TYPES else []
+    gone = () if keep_ids else ("idx", "ord")
     if mode not in SEARCH_TYPES:
-        return exact_match(chunks.filter(F.lit(False)), request.query, kind=None).drop("idx", "ord")
+        return exact_match(chunks.filter(F.lit(False)), request.query, kind=None).drop(*gone)
+    order = R.tier_order(order or ("l2" if metric == "l2" and mode in ("all", "semantic") else mode))
     chunks = with_prepared(chunks) if mode != "semantic" else chunks
     exact = exact_match(chunks, request.query, request.filters, request.min_snippet, kind)
     if mode == "exact":
-        return R.top_k(exact, k, order).drop("idx", "ord")
+        return R.top_k(exact, k, order).drop(*gone)
     words = all_words_match(chunks, request.query, request.filters, request.min_snippet, exact if mode == "all" else None, kind=kind)
     if mode == "all_words":
-        return R.top_k(words, k, order).drop("idx", "ord")
+        return R.top_k(words, k, order).drop(*gone)
     vector = query_vector if query_vector is not None else V.query_embedding(request.query)
     lexical = exact.unionByName(words)
     near = semantic_match(chunks, vectors, request.query, vector, k, request.filters, request.min_snippet, lexical if mode == "all" else None, metric=metric, kind=kind)
     if mode == "semantic":
-        return R.top_k(near, k, order).drop("idx", "ord")
+        return R.top_k(near, k, order).drop(*gone)
     if promote:
         hits = V.knn(vectors, vector, k * V.OVERFETCH, metric).select("idx", "score")
         words = words.join(hits, "idx", "left").withColumn("category_priority", F.when(F.col("score").isNotNull(), PROMOTED).otherwise(F.col("category_priority"))).withColumn("distance", F.coalesce("score", "distance")).drop("score")

@@ -21,7 +21,7 @@ from . import api, ingest
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-PHRASE = "the ancient river"
+PHRASE = "inner light"
 COMMON = "of the"
 K = 100
 LABELS = {"CWSA": "Collected works, first series", "CWM": "Collected works, second series", "Disciples": "Works of disciples"}
@@ -61,7 +61,7 @@ _SCORE = "list_inner_product(e, q)"
 _SEVEN = "(SELECT embedding AS q FROM embeddings WHERE vec_id = 7)"
 _LEX = f"""base AS (SELECT *, {_prepared_sql('snippet')} AS n FROM metadata WHERE snippet IS NOT NULL AND length(snippet) >= 10),
   ex AS (SELECT idx, 1 AS category_priority, 0.0::DOUBLE AS distance, coalesce(priority, 0) AS priority, idx AS ord FROM base WHERE contains(n, {_q(PHRASE)})),
-  aw AS (SELECT idx, 3 AS category_priority, 0.1::DOUBLE AS distance, coalesce(priority, 0) AS priority, idx AS ord FROM base WHERE list_has_all(string_split(n, ' '), ['the', 'ancient', 'river']) AND idx NOT IN (SELECT idx FROM ex))"""
+  aw AS (SELECT idx, 3 AS category_priority, 0.1::DOUBLE AS distance, coalesce(priority, 0) AS priority, idx AS ord FROM base WHERE list_has_all(string_split(n, ' '), ['inner', 'light']) AND idx NOT IN (SELECT idx FROM ex))"""
 
 
 def _knn_sql(k: int) -> str:
@@ -222,12 +222,12 @@ def exact_match_legacy(spark, d):
     return _meta(spark, d).filter(FI.exact_phrase_plain(F.col("snippet"), COMMON)).select("idx")
 
 
-@query("SELECT idx FROM (SELECT idx, " + _prepared_sql("snippet") + " AS n FROM metadata WHERE snippet IS NOT NULL AND length(snippet) >= 10) WHERE list_has_all(string_split(n, ' '), ['the', 'ancient', 'river'])")
+@query("SELECT idx FROM (SELECT idx, " + _prepared_sql("snippet") + " AS n FROM metadata WHERE snippet IS NOT NULL AND length(snippet) >= 10) WHERE list_has_all(string_split(n, ' '), ['inner', 'light'])")
 def all_words_tokens(spark, d):
     return S.all_words_match(_meta(spark, d), PHRASE, kind=None).select("idx")
 
 
-@query("SELECT idx FROM (SELECT idx, " + _prepared_sql("snippet") + " AS n FROM metadata WHERE snippet IS NOT NULL AND length(snippet) >= 10) WHERE contains(n, 'the') AND contains(n, 'ancient') AND contains(n, 'river')")
+@query("SELECT idx FROM (SELECT idx, " + _prepared_sql("snippet") + " AS n FROM metadata WHERE snippet IS NOT NULL AND length(snippet) >= 10) WHERE contains(n, 'inner') AND contains(n, 'light')")
 def all_words_substring(spark, d):
     return S.all_words_match(_meta(spark, d), PHRASE, substrings=True, kind=None).select("idx")
 
@@ -348,6 +348,36 @@ def hybrid_all(spark, d):
     return _out(S.search(_meta(spark, d), table(spark, d, "vectors"), S.Request(PHRASE, K), _vector(spark, d), kind=None))
 
 
+@query(f"WITH {_LEX} SELECT {_OUT} FROM (SELECT * FROM ex ORDER BY category_priority, priority DESC, distance, ord LIMIT {K})")
+def search_exact(spark, d):
+    """O1: one tier, by priority."""
+    found = S.search(_meta(spark, d), table(spark, d, "vectors"), S.Request(PHRASE, K, "exact"), kind=None, keep_ids=True)
+    return _out(found)
+
+
+@query(f"WITH {_LEX.replace(' AND idx NOT IN (SELECT idx FROM ex)', '')} SELECT {_OUT} FROM (SELECT * FROM aw ORDER BY category_priority, priority DESC, distance, ord LIMIT {K})")
+def search_all_words(spark, d):
+    return _out(S.search(_meta(spark, d), table(spark, d, "vectors"), S.Request(PHRASE, K, "all_words"), kind=None, keep_ids=True))
+
+
+@query(f"WITH base AS (SELECT * FROM metadata WHERE snippet IS NOT NULL AND length(snippet) >= 10), {_knn_sql(5 * K)}, {_near_sql(K, 'SELECT -1')} SELECT {_OUT} FROM se")
+def search_semantic(spark, d):
+    """The most similar, by priority."""
+    return _out(S.search(_meta(spark, d), table(spark, d, "vectors"), S.Request(PHRASE, K, "semantic"), _vector(spark, d), kind=None, keep_ids=True))
+
+
+@query(f"{_ALL} SELECT {_OUT} FROM (SELECT * FROM r ORDER BY category_priority, priority DESC, distance, ord LIMIT {K})")
+def hybrid_distance_order(spark, d):
+    """O3, Q5, Q6: smaller distances first in every tier, as for squared distances."""
+    return _out(S.search(_meta(spark, d), table(spark, d, "vectors"), S.Request(PHRASE, K), _vector(spark, d), kind=None, order="l2"))
+
+
+@query("SELECT request_id, regexp_replace(snippet, '(the)', '<mark>\\1</mark>', 'gi') AS text FROM results")
+def rehighlight(spark, d):
+    """What a client marks again in a snippet that it shows."""
+    return table(spark, d, "results").select("request_id", TX.highlight_plain(F.col("snippet"), "the").alias("text"))
+
+
 @query()
 def search_all(spark, d):
     """The same with its snippets."""
@@ -360,7 +390,7 @@ def hybrid_promoted(spark, d):
     return _out(S.search(_meta(spark, d), table(spark, d, "vectors"), S.Request(PHRASE, K), _vector(spark, d), promote=True, kind=None))
 
 
-@query(f"""WITH {_LEX.replace(">= 10", ">= 20").replace("list_has_all(string_split(n, ' '), ['the', 'ancient', 'river'])", "contains(n, 'the') AND contains(n, 'ancient') AND contains(n, 'river')")}, {_knn_sql(K)}, {_near_sql(K, 'SELECT idx FROM ex UNION ALL SELECT idx FROM aw')},
+@query(f"""WITH {_LEX.replace(">= 10", ">= 20").replace("list_has_all(string_split(n, ' '), ['inner', 'light'])", "contains(n, 'inner') AND contains(n, 'light')")}, {_knn_sql(K)}, {_near_sql(K, 'SELECT idx FROM ex UNION ALL SELECT idx FROM aw')},
   r AS (SELECT * FROM ex UNION ALL SELECT * FROM aw UNION ALL SELECT * FROM se) SELECT {_OUT} FROM (SELECT * FROM r ORDER BY category_priority, ord LIMIT {K})""")
 def hybrid_quota(spark, d):
     return _out(S.quota_search(_meta(spark, d), table(spark, d, "vectors"), PHRASE, _vector(spark, d), K))

@@ -80,9 +80,29 @@ def all_words_match(chunks: DataFrame, query: str, filters: dict | None = None,
     return _tier(rows, ALL_WORDS, F.lit(0.1), F.col("idx"), " ".join(words), min_snippet, kind)
 
 
-def semantic_match(chunks: DataFrame, vectors: DataFrame, query: str, query_vector, top_k: int, filters: dict | None = None, min_snippet: int = 10, exclude: DataFrame | None = None, overfetch: int | None = V.OVERFETCH, metric: str = "ip", kind: str | None = "lines") -> DataFrame:
+def _accepted(flagged: DataFrame, query: str, words: list[str], least: int, kind: str | None) -> DataFrame:
+    first, third = (TX.snippet(F.col("snippet"), query, kind), TX.snippet(F.col("snippet"), " ".join(words), kind)) if kind else (F.col("snippet"), F.col("snippet"))
+    cut = flagged.withColumn("__s1", first).withColumn("__s3", third)
+    exact = F.col("__exact") & (F.length("__s1") >= least)
+    tier = F.when(exact, EXACT).when(F.col("__words") & (F.length("__s3") >= least), ALL_WORDS)
+    return cut.withColumn("category_priority", tier).withColumn("__snippet", F.when(F.col("category_priority") == EXACT, F.col("__s1")).otherwise(F.col("__s3")))
+
+
+def _lexical(rows: DataFrame, query: str, least: int, kind: str | None) -> DataFrame:
+    """Tiers 1 and 3, disjoint. Rows that match nothing are gone before a snippet is made."""
+    words = list(dict.fromkeys(TX.prepare(query).split()))
+    prepared = with_prepared(rows)
+    phrase, every = P.exact_phrase(F.col("snippet_norm"), TX.prepare(query)), P.all_words(F.col("tokens"), words)
+    flagged = prepared.filter(phrase | every).withColumn("__exact", phrase).withColumn("__words", every)
+    found = _accepted(flagged, query, words, least, kind).filter(F.col("category_priority").isNotNull())
+    found = found.withColumn("snippet", F.col("__snippet")).withColumn("distance", F.when(F.col("category_priority") == EXACT, 0.0).otherwise(0.1)).withColumn("ord", F.col("idx").cast("bigint"))
+    return with_defaults(found).select("idx", *RESULT, "ord")
+
+
+def semantic_match(chunks: DataFrame, vectors: DataFrame, query: str, query_vector, top_k: int, filters: dict | None = None, min_snippet: int = 10, exclude: DataFrame | None = None, overfetch: int | None = V.OVERFETCH, metric: str = "ip", kind: str | None = "lines", without_lexical: bool = False) -> DataFrame:
     """Q3, V9: the best ``overfetch`` * top_k of all vectors, then exclusion, join (F10, J2), filters and snippet, then the
-    first top_k by similarity. With ``overfetch`` None the filters come first and nothing is cut (V10)."""
+    first top_k by similarity. With ``overfetch`` None the filters come first and nothing is cut (V10). ``without_lexical``
+    leaves out rows that the lexical tiers accept, by looking at the few hits themselves instead of joining those tiers."""
     best = F.asc("score") if metric == "l2" else F.desc("score")
     if overfetch is None:
         kept = P.apply_filters(chunks, P.used_filters(filters))
@@ -92,6 +112,11 @@ def semantic_match(chunks: DataFrame, vectors: DataFrame, query: str, query_vect
     if exclude is not None:
         hits = hits.join(exclude.select("idx").distinct(), "idx", "left_anti")
     rows = P.apply_filters(chunks.filter(F.col("snippet").isNotNull()).join(hits, "idx"), P.used_filters(filters))
+    if without_lexical:
+        words = list(dict.fromkeys(TX.prepare(query).split()))
+        prepared = with_prepared(rows)
+        flagged = prepared.withColumn("__exact", P.exact_phrase(F.col("snippet_norm"), TX.prepare(query))).withColumn("__words", P.all_words(F.col("tokens"), words))
+        rows = _accepted(flagged, query, words, min_snippet, kind).filter(F.col("category_priority").isNull()).select(*rows.columns)
     # The rank is over at most overfetch * top_k rows, or stays a sort key where nothing is cut.
     ordinal = F.row_number().over(Window.orderBy(best, "idx")) if overfetch is not None else F.col("idx")
     tier = _tier(rows, SEMANTIC, F.col("score"), ordinal, query, min_snippet, kind)
@@ -107,22 +132,22 @@ def search(chunks: DataFrame, vectors: DataFrame, request: Request, query_vector
     if mode not in SEARCH_TYPES:
         return exact_match(chunks.filter(F.lit(False)), request.query, kind=None).drop(*gone)
     order = R.tier_order(order or ("l2" if metric == "l2" and mode in ("all", "semantic") else mode))
-    chunks = with_prepared(chunks) if mode != "semantic" else chunks
-    exact = exact_match(chunks, request.query, request.filters, request.min_snippet, kind)
     if mode == "exact":
-        return R.top_k(exact, k, order).drop(*gone)
-    words = all_words_match(chunks, request.query, request.filters, request.min_snippet, exact if mode == "all" else None, kind=kind)
+        return R.top_k(exact_match(chunks, request.query, request.filters, request.min_snippet, kind), k, order).drop(*gone)
     if mode == "all_words":
-        return R.top_k(words, k, order).drop(*gone)
+        return R.top_k(all_words_match(chunks, request.query, request.filters, request.min_snippet, kind=kind), k, order).drop(*gone)
     vector = query_vector if query_vector is not None else V.query_embedding(request.query)
-    lexical = exact.unionByName(words)
-    near = semantic_match(chunks, vectors, request.query, vector, k, request.filters, request.min_snippet, lexical if mode == "all" else None, metric=metric, kind=kind)
+    near = semantic_match(chunks, vectors, request.query, vector, k, request.filters, request.min_snippet, metric=metric, kind=kind, without_lexical=mode == "all")
     if mode == "semantic":
         return R.top_k(near, k, order).drop(*gone)
+    # One pass over the chunks for both lexical tiers; the vectors are another, and only their best meet the chunks again.
+    rows = P.apply_filters(chunks, request.filters).filter(F.col("snippet").isNotNull())
+    lexical = _lexical(rows, request.query, request.min_snippet, kind)
     if promote:
         hits = V.knn(vectors, vector, k * V.OVERFETCH, metric).select("idx", "score")
-        words = words.join(hits, "idx", "left").withColumn("category_priority", F.when(F.col("score").isNotNull(), PROMOTED).otherwise(F.col("category_priority"))).withColumn("distance", F.coalesce("score", "distance")).drop("score")
-        lexical = exact.unionByName(words.select(exact.columns))
+        near_too = (F.col("category_priority") == ALL_WORDS) & F.col("score").isNotNull()
+        promoted = lexical.join(hits, "idx", "left").withColumn("distance", F.when(near_too, F.col("score")).otherwise(F.col("distance"))).withColumn("category_priority", F.when(near_too, PROMOTED).otherwise(F.col("category_priority")))
+        lexical = promoted.select(lexical.columns)
     return R.top_k(lexical.unionByName(near), k, order)
 
 

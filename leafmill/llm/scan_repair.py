@@ -16,6 +16,7 @@ repeated rows are treated each for itself.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,6 +43,8 @@ CONFUSIONS = (
 )
 MARKS = "-‐¬­"
 EDGE = ".,;:?()[]{}“”„«»\"'’‘—–…*_।॥。，、！？؟،"
+#: Whether a text has a mark before a blank or a line end at all; most have not, and need no look at their words.
+_BREAK = re.compile(rf"[{MARKS}](?:[ \t]*\r?\n| )").search
 _SYMBOLS = set("0123456789@!|$")
 
 
@@ -69,23 +72,34 @@ def _regexes():
         "number": regex.compile(rf"^[\s~\-—–\[\](){{}}|.*·]*(?:(?i:page|pg\.|p\.))?\s*{number}[\s~\-—–\[\](){{}}|.*·]*$"),
         "before": regex.compile(rf"^[\s~\-—–\[\](){{}}|*·]*(?:(?i:page|pg\.|p\.))?\s*{number}\s*[~\-—–\])}}|.*·]*(?:\s{{2,}}|\s*[|—–-]\s+|\s+[|—–-]\s*|\s+)(?=\S)"),
         "after": regex.compile(rf"(?<=\S)(?:\s{{2,}}|\s+[|—–-]\s*|\s+)[~\-—–\[({{|*·]*\s*(?:(?i:page|pg\.|p\.))?\s*{number}[\s~\-—–\])}}|.*·]*$"),
+        "digit": regex.compile(r"\d"),
         "label": regex.compile(r"^(?i:chapter|part|talk|book|letter|section|canto)\s+[\divxlcIVXLC]+\s*[:.\-—–]\s*"),
     }
 
 
+@lru_cache(maxsize=10_000)
+def _parts(title: str) -> tuple[str, str, frozenset[str]]:
+    """A title in small letters, its letters and digits alone, and their pairs."""
+    folded = title.casefold()
+    bare_title = "".join(filter(str.isalnum, folded))
+    return folded, bare_title, frozenset(bare_title[i : i + 2] for i in range(len(bare_title) - 1))
+
+
 def line_features(line: str, title: str, always: bool = False) -> tuple[float, ...] | None:
     """What the furniture classifier sees of a line and a title; None where they have too little in common to be asked, unless ``always``."""
-    a, b = line.casefold(), title.casefold()
-    if a == b:
+    a = line.casefold()
+    folded, b, grams = _parts(title)
+    if a == folded:
         return (1.0, 1.0, 1.0)
-    a, b = "".join(filter(str.isalnum, a)), "".join(filter(str.isalnum, b))
-    if not b or not always and not 0.6 <= len(a) / len(b) <= 1.67:
+    if not always and not 0.7 * len(b) <= len(a) <= 4 * len(folded):
+        return None
+    a = "".join(filter(str.isalnum, a))
+    if not b or not always and not 0.75 <= len(a) / len(b) <= 1.34:
         return None
     if a == b:
         return (1.0, 1.0, 1.0)
-    grams = {b[i : i + 2] for i in range(len(b) - 1)}
-    shared = sum(a[i : i + 2] in grams for i in range(len(a) - 1)) / max(1, len(a) - 1)
-    if shared < 0.4 and not always:
+    shared = len([i for i in range(len(a) - 1) if a[i : i + 2] in grams]) / max(1, len(a) - 1)
+    if shared < 0.6 and not always:
         return None
     import difflib
 
@@ -194,15 +208,17 @@ def furniture(line: str, titles: list[str], alike) -> tuple[bool, bool]:
     longest = max(map(len, titles), default=0)
     if not longest or len(stripped) > 2 * longest + 24:
         return False, False
+    ends = stripped.split(None, 1)[0].strip(EDGE + "~|-"), stripped.rsplit(None, 1)[-1].strip(EDGE + "~|-")
+    numbered = match["digit"].search(stripped) is not None or any(e and not e.strip("ivxlc") for e in ends)
     for t in titles:
         if alike(stripped, t):
             rest = None
-            for side in ("before", "after"):
+            for side in ("before", "after") if numbered else ():
                 m = match[side].search(stripped)
                 if m and alike(stripped[: m.start()] + stripped[m.end() :], t) and not any(ch.isdigit() for ch in t):
                     rest = m
             return True, rest is not None
-        for side in ("before", "after"):
+        for side in ("before", "after") if numbered else ():
             m = match[side].search(stripped)
             if m and alike((stripped[: m.start()] + stripped[m.end() :]).strip(" |—–-"), t):
                 return True, True
@@ -350,7 +366,7 @@ def suspects(text: str, chapter: str | None, asked, alike) -> list[tuple[str, st
         if found:  # a word may be divided around the furniture
             body = "\n".join(kept)
     halves: set[str] = set()
-    if any(m in body for m in MARKS):
+    if _BREAK(body):
         for m in _regexes()["divided"].finditer(body):
             a, mark, gap, b = m.groups()
             halves |= {a, b}
@@ -360,7 +376,9 @@ def suspects(text: str, chapter: str | None, asked, alike) -> list[tuple[str, st
                 found.append(("misread", joined, "", ""))
     tokens = text.split()
     last = len(tokens) - 1
-    for k, token in enumerate(tokens):
+    seen = asked.known.get
+    for k in [k for k, token in enumerate(tokens) if seen(token, True)]:
+        token = tokens[k]
         if not asked(token):
             continue
         word = form(bare(token))
@@ -433,7 +451,7 @@ def _train_joins_on(counts: DataFrame) -> BoostedTrees:
 
 def _train_furniture_on(texts: DataFrame) -> Alike:
     """Titles and lines of the texts with the lowest hashes, ``TRAIN_WORDS`` / 3 texts at most."""
-    some = texts.filter("chapter IS NOT NULL AND chapter <> ''").select("chapter", F.substring("text", 1, 2000).alias("text"), F.xxhash64("chapter", "text").alias("h")).orderBy("h").limit(TRAIN_WORDS // 3).collect()
+    some = texts.filter("chapter IS NOT NULL AND chapter <> ''").select("chapter", "text", F.xxhash64("chapter", "text").alias("h")).orderBy("h").limit(TRAIN_WORDS // 3).collect()
     titles = list(dict.fromkeys(p.strip() for r in some for p in r["chapter"].split("|")))
     lines = [x.strip() for r in some for x in r["text"].split("\n")[2:8] if x.strip()]
     return train_furniture(titles, lines)

@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..operators.dimensions import small
 from ..sources.scratch import materialize
 from . import tokens as _tokens
 
@@ -92,7 +93,7 @@ def language(lang: Column) -> Column:
 
 def counted(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", domain: Column | None = None, ranks: str = _tokens.DEFAULT_RANKS) -> DataFrame:
     """(id, domain, language, source, n_tokens) of the documents of the target sources, as a written table."""
-    wanted = docs.join(F.broadcast(targets.select(F.col("source").alias(source_col)).distinct()), source_col, "left_semi")
+    wanted = docs.join(small(targets.select(F.col("source").alias(source_col)).distinct()), source_col, "left_semi")
     keyed = wanted.select(F.struct(F.col(id_col).alias("id"), (domain if domain is not None else F.lit("all")).alias("domain"), language(F.col(lang_col)).alias("language"), F.col(source_col).alias("source")).alias("key"), text_col)
     return materialize(_tokens.count_tokens(keyed, "key", text_col, ranks=ranks).select("key.*", "n_tokens"), "mix-tokens")
 
@@ -149,7 +150,7 @@ def reached(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, tokens, reached_share, n_documents, most_copies) for every target source."""
     used = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("n_documents"), F.max("copies").alias("most_copies"))
     table = targets.join(used, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
-    whole = table.agg(F.sum("tokens").alias("whole"))
-    return table.crossJoin(F.broadcast(whole)).select(
+    whole = F.sum("tokens").over(Window.partitionBy())  # over the targets only, a handful of rows
+    return table.withColumn("whole", whole).select(
         "source", "target_share", "tokens", F.when(F.col("whole") > 0, F.col("tokens") / F.col("whole")).otherwise(0.0).alias("reached_share"), F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("most_copies", F.lit(0)).alias("most_copies")
     )

@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from .dimensions import small
+
 DIMENSION = 64
 OVERFETCH = 5
 
@@ -95,10 +97,11 @@ def knn(vectors: DataFrame, query, k: int, metric: str = "ip", id_col: str = "id
 
 
 def knn_many(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "ip", id_col: str = "idx", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
-    """J7 for a stated, small set of queries: each against all vectors in blocks, the k best of each kept within every task."""
+    """J7 for a stated set of queries: each against all vectors in blocks, the k best of each kept within every task. The
+    queries are counted before they may be broadcast; more of them meet the vectors block by block."""
     score = squared_distance(F.col(vector_col), F.col(query_vector)) if metric == "l2" else inner_product(F.col(vector_col), F.col(query_vector))
     best = Window.partitionBy(query_id).orderBy(F.asc("score") if metric == "l2" else F.desc("score"), id_col)
-    pairs = vectors.select(id_col, vector_col).crossJoin(F.broadcast(queries.select(query_id, query_vector))).withColumn("score", score).filter(F.col("score").isNotNull())
+    pairs = vectors.select(id_col, vector_col).crossJoin(small(queries.select(query_id, query_vector))).withColumn("score", score).filter(F.col("score").isNotNull())
     return pairs.select(query_id, id_col, "score").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 

@@ -114,7 +114,8 @@ def semantic_match(chunks: DataFrame, vectors: DataFrame, query: str, query_vect
     rows = P.apply_filters(chunks.filter(F.col("snippet").isNotNull()).join(hits, "idx"), P.used_filters(filters))
     if without_lexical:
         words = list(dict.fromkeys(TX.prepare(query).split()))
-        prepared = with_prepared(rows)
+        # With the score in its input, the normalisation stays above the join: it sees the few hits instead of every chunk.
+        prepared = with_prepared(rows.withColumn("snippet", F.when(F.col("score").isNotNull(), F.col("snippet"))))
         flagged = prepared.withColumn("__exact", P.exact_phrase(F.col("snippet_norm"), TX.prepare(query))).withColumn("__words", P.all_words(F.col("tokens"), words))
         rows = _accepted(flagged, query, words, min_snippet, kind).filter(F.col("category_priority").isNull()).select(*rows.columns)
     # The rank is over at most overfetch * top_k rows, or stays a sort key where nothing is cut.

@@ -35,7 +35,7 @@ TERMINAL = r".!?。！？।॥؟։።፧။…‽"
 
 #: Blanks that may follow a text.
 BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200C))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
-#: Characters before the end that any rule looks at.
+#: Characters before the end that hold any shortened word; every other rule sees the whole text.
 TAIL = 400
 
 
@@ -43,6 +43,7 @@ TAIL = 400
 def _patterns() -> dict:
     import regex
 
+    # Searched from the end (r), where most are anchored, so that a long text or a long run of one sign costs no more.
     made = {
         "signs": rf"(?:[{BLANKS}]*(?:\[\d{{1,3}}\]|[\p{{So}}\p{{Sk}}\u200d\ufe0f--[\ufffd\ufffc]]))+$",
         "letters": r"[\p{L}\p{N}]",
@@ -53,30 +54,30 @@ def _patterns() -> dict:
         "terminal": rf"[{TERMINAL}][{CLOSERS}]*$",
         "ellipsis": rf"(?:^|[^.!?…。！？।])\s*(?:\.\.\.|…)[{CLOSERS}]*$",
         "shortened": rf"(?:(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{INNER_ABBREVIATIONS}|\p{{Lu}})\.|(?:^|[\s(])\d{{1,3}}\.)$",
-        "paren_open": r"\((?:[^()\n]|\n(?!\s*\n))*$",
-        "paragraph": r"\n\s*\n",
         "signature": r"^[—–―]\s*\p{Lu}[\p{L}\p{M}.'’-]+(?:\s+\p{Lu}[\p{L}\p{M}.'’-]*){0,3}$",
         "heading": r"^\p{Lu}[\p{Lu}\p{N}\p{M}\s\p{P}]*$",
     }
-    return {name: regex.compile("(?V1)" + pattern).search for name, pattern in made.items()}
+    return {name: regex.compile("(?V1r)" + pattern).search for name, pattern in made.items()} | {"paragraph": regex.compile(r"\n\s*\n").search}
 
 
-def ending(tail: str) -> str:
-    """'ended', 'cut', or 'open' for a last line that may be complete without a terminal mark."""
+def ending(text: str) -> str:
+    """'ended', 'cut', or 'open' for a last line that may be complete without a terminal mark; needs the whole text, as a quote or bracket may open anywhere."""
     match = _patterns()
-    tail = match["signs"](tail) and tail[: match["signs"](tail).start()].rstrip(BLANKS) or tail
-    before, _, own = tail.replace("\r", "\n").rpartition("\n")
+    text = match["signs"](text) and text[: match["signs"](text).start()].rstrip(BLANKS) or text
+    before, _, own = text.replace("\r", "\n").rpartition("\n")
     before, own = before.rstrip(BLANKS), own.strip(BLANKS)
-    lines, words = "\n" in tail or "\r" in tail, len(own.split())
+    lines, words = "\n" in text or "\r" in text, len(own.split())
     ended_before = not before or bool(match["line_ended"](before))
     if not match["letters"](own) and lines:
         return "cut" if "\ufffd" in own else "ended"
     if match["colophon"](own) or (lines and ended_before and words <= 9 and match["numbered"](own)):
         return "ended"
-    if match["terminal"](tail) or match["greek"](tail):
-        quote = tail.rfind("“")
-        quote_open = quote > tail.rfind("”") and "„" not in tail and tail.count("“") > tail.count("”") and not match["paragraph"](tail, quote)
-        return "cut" if quote_open or match["ellipsis"](tail) or match["shortened"](tail) or match["paren_open"](tail) else "ended"
+    if match["terminal"](text) or match["greek"](text):
+        quote = text.rfind("“")
+        quote_open = quote > text.rfind("”") and "„" not in text and text.count("“") > text.count("”") and not match["paragraph"](text, quote)
+        paren = text.rfind("(")
+        paren_open = paren > text.rfind(")") and not match["paragraph"](text, paren)
+        return "cut" if quote_open or paren_open or match["ellipsis"](text) or match["shortened"](text[-TAIL:]) else "ended"
     if ended_before and (match["signature"](own) or (words >= 2 and lines and match["heading"](own))):
         return "open"
     return "cut"
@@ -85,7 +86,7 @@ def ending(tail: str) -> str:
 def _judge(schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(map(ending, batch.columns[-1].to_pylist()), pa.string())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array((ending(text.as_py()) for text in batch.columns[-1]), pa.string())], schema=schema)
 
     return run
 
@@ -106,8 +107,8 @@ def truncated(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
     from pyspark.sql.pandas.types import to_arrow_schema
 
     texts = docs.select(id_col, source_col, text_col).filter(F.col(text_col).rlike(r"[\p{L}\p{N}]"))
-    tails = texts.select(id_col, source_col, F.length(text_col).alias("chars"), F.octet_length(text_col).alias("bytes"), F.right(F.rtrim(text_col, F.lit(BLANKS)), F.lit(TAIL)).alias("state"))
-    judged = tails.mapInArrow(_judge(to_arrow_schema(tails.schema)), tails.schema)
+    whole = texts.select(id_col, source_col, F.length(text_col).alias("chars"), F.octet_length(text_col).alias("bytes"), F.rtrim(text_col, F.lit(BLANKS)).alias("state"))
+    judged = whole.mapInArrow(_judge(to_arrow_schema(whole.schema)), whole.schema)
     spikes = length_spikes(docs, source_col, text_col).groupBy(F.col("source").alias("__source")).agg(F.collect_set(F.struct("unit", "length")).alias("spikes"))
     joined = judged.join(spikes, F.col(source_col).eqNullSafe(F.col("__source")), "left")
     at = F.coalesce(F.array_contains("spikes", F.struct(F.lit("characters").alias("unit"), F.col("chars").alias("length"))) | F.array_contains("spikes", F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length"))), F.lit(False))

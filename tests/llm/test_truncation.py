@@ -19,6 +19,22 @@ def test_cut(text):
     assert C.ending(text.rstrip(C.BLANKS)[-C.TAIL :]) == "cut"
 
 
+FILL = "Ein Satz, der endet. " * 40
+
+
+def test_quotes_and_brackets_that_open_far_before_the_end(spark):
+    texts = {1: (f"Er sagte: „{FILL}Nun ja.“ Dann ging er.", False), 2: (f"He said: “{FILL}It ends.", True), 3: (f"It ends (see {FILL}there.", True), 4: (f"Done.\n({FILL.replace('.', ',')} to be continued)", False), 5: (f"A bracket ( in a paragraph.\n\n{FILL}", False)}
+    docs = spark.createDataFrame([(i, t, "free", "c", 0) for i, (t, _) in texts.items()], "doc_id bigint, text string, source string, state string, chars int")
+    assert {r["doc_id"]: r["is_cut"] for r in C.truncated(docs).collect()} == {i: cut for i, (_, cut) in texts.items()}
+    report = C.truncation_report(docs).first()
+    assert (report["n_docs"], report["n_cut"]) == (5, 2)
+
+
+def test_long_runs_of_one_sign():
+    for text in ("_" * 200_000 + "a", "word " + " " * 200_000 + "x", "(" * 100_000 + "\n" * 100_000 + "a", "." * 200_000 + "1a"):
+        assert C.ending(text) == "cut"
+
+
 SCHEMA = "doc_id bigint, text string, source string, state string, chars int"
 
 

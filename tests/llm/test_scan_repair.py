@@ -67,6 +67,22 @@ def test_held_out_accuracy():
     assert right / total > 0.95 and wrong / others < 0.03
 
 
+def test_short_misread_titles_are_asked_about():
+    random.seed(3)
+    for title in ("Grace", "Light", "Inner Life", "The Silent Garden"):
+        for spoiled in (1, 2, 3):
+            for _ in range(100):
+                line = title
+                for _ in range(spoiled):
+                    right, wrong = random.choice(R.CONFUSIONS)
+                    k = random.randrange(len(line))
+                    line = line.replace(right, wrong, 1) if random.random() < 0.7 else line[:k] + line[k + 1 :]
+                assert R.line_features(line, title) is not None, (line, title)
+    alike = R.train_furniture(["The Silent Garden", "The River of Light", "Inner Mountain"], [" ".join(random.choices(WORDS, k=6)) for _ in range(100)])
+    assert R.furniture("Gracc", ["Grace"], alike)[0] and R.furniture("Grcce", ["Grace"], alike)[0] and R.furniture("Inncr Lifc", ["Inner Life"], alike)[0]
+    assert R.furniture("The river carries", ["Grace", "Inner Life"], alike) == (False, False)
+
+
 def test_trees_learn_an_interaction():
     r = np.random.default_rng(0)
     x = r.random((2000, 3))

@@ -31,6 +31,7 @@ SAMPLE = 32_768
 #: Vectors that are compared with each other in one block.
 LEAF_ROWS = 4_000
 MAX_DEPTH = 12
+#: Trees for pairs, up to three levels; more in proportion for more, as every level parts some pairs.
 TREES = 5
 FACTOR = 0.01
 #: For the k nearest, whose radius is large in a space without clusters.
@@ -155,21 +156,32 @@ def _fit(packed: DataFrame, dimension: int, trees: int, seed: int, n: int) -> tu
     share = min(1.0, SAMPLE / max(n, 1))
     chosen = packed.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_003)) <= int(1_000_003 * share)) if share < 1 else packed
     sample = _unpack(pa.array([r["vec"] for r in chosen.select("vec").limit(2 * SAMPLE).collect()], pa.binary()), dimension)
-    depth = max(0, min(MAX_DEPTH, math.ceil(math.log2(max(1, n / LEAF_ROWS)))))
+    depth = min(MAX_DEPTH, _levels(n))
     return Forest(sample, depth if len(sample) > 1 else 0, trees, seed), sample
 
 
-def similar_pairs(vectors: DataFrame, id_col: str = "idx", vector_col: str = "embedding", *, least: float = 0.9, trees: int = TREES, factor: float = FACTOR, seed: int = 7, expand: bool = True) -> DataFrame:
+def _levels(n: int) -> int:
+    """How often n vectors are halved before a block holds ``LEAF_ROWS``, in the routing trees and in the shards."""
+    return max(0, math.ceil(math.log2(max(1, n / LEAF_ROWS))))
+
+
+def trees_for(n: int) -> int:
+    """Trees that keep the recall of three levels for n vectors."""
+    return max(TREES, math.ceil(TREES * _levels(n) / 3))
+
+
+def similar_pairs(vectors: DataFrame, id_col: str = "idx", vector_col: str = "embedding", *, least: float = 0.9, trees: int | None = None, factor: float = FACTOR, seed: int = 7, expand: bool = True) -> DataFrame:
     """(a, b, cosine): pairs of ids, a < b, whose cosine is at least ``least``.
 
     With ``expand`` members of a class of equal vectors are paired too; without, pairs are between the least ids of classes.
+    The number of trees grows with the table (``trees_for``) unless it is given.
     """
     if not 0 < least <= 1:
         raise ValueError("the least cosine must be above 0 and at most 1")
     dimension = _dimension(vectors, vector_col)
     packed = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col)).mapInArrow(_prepare(dimension), "id bigint, vec binary")
     n = vectors.count()
-    forest, _ = _fit(packed, dimension, trees, seed, n)
+    forest, _ = _fit(packed, dimension, trees or trees_for(n), seed, n)
     radius = math.sqrt(2 - 2 * least)
     classes = packed.groupBy("vec").agg(F.min("id").alias("id"), F.max("id").alias("last"))
     shards = classes.select("id", "vec").mapInArrow(_route(forest, dimension, factor * radius), "shard bigint, id bigint, vec binary")

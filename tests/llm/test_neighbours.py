@@ -33,6 +33,19 @@ def test_pairs(spark, monkeypatch, leaf, trees, factor):
     assert got <= want and len(got & want) >= (1.0 if factor == 1.0 or leaf > 600 else 0.97) * len(want)
 
 
+def test_deep_trees_keep_pairs_near_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(N, "LEAF_ROWS", 10)
+    r = np.random.default_rng(1)
+    x = r.normal(size=(1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    step = r.normal(size=x[::2].shape)
+    x[1::2] = x[::2] + 0.42 * step / np.linalg.norm(step, axis=1, keepdims=True)
+    assert [N.trees_for(n) for n in (0, 80, 640, 10_240)] == [5, 5, 10, 17]
+    got = {(row["a"], row["b"]) for row in N.similar_pairs(frame(spark, x)).collect()}
+    want = brute(x, 0.9)
+    assert got <= want and len(want) > 250 and len(got) >= 0.99 * len(want)
+
+
 def test_nearest_recall_and_exactness(spark, monkeypatch):
     monkeypatch.setattr(N, "LEAF_ROWS", 60)
     x = make()

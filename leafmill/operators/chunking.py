@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import WS, collapse_space
+from .ids import with_ids
 
 CHUNK, OVERLAP = 1000, 200
 #: Fixed value: what a chapter heading looks like.
@@ -83,6 +84,16 @@ def concat_pages(pages: DataFrame, key: str, value: str = "text", separator: str
     return pages.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["v"]), separator).alias("text"))
 
 
+def merge_pages(*files: DataFrame, order: tuple[str, ...] = ("page_number",)) -> DataFrame:
+    """K7: the pages of several files in one sequence, file by file as given and by ``order`` within one, counted anew from 1."""
+    whole = None
+    for place, pages in enumerate(files):
+        part = pages.withColumn("__file", F.lit(place))
+        whole = part if whole is None else whole.unionByName(part)
+    placed = with_ids(whole, ["__file", *order], "__place")
+    return placed.withColumn("page_number", (F.col("__place") + 1).cast("int")).drop("__file", "__place")
+
+
 def chapter_name(headings: Column, separator: str = " | ") -> Column:
     """A10: a page's headings as one string; empty where there is none."""
     return F.coalesce(F.array_join(headings, separator), F.lit(""))

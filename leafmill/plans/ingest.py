@@ -4,24 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import paths as P
 from ..functions import text as TX
 from ..operators import chunking as C
 from ..operators import dimensions as D
 from ..operators import vectors as V
-
-
-def with_ids(chunks: DataFrame, order: list[str]) -> DataFrame:
-    """Ids 0, 1, 2, ... in the order of the columns, without sorting everything in one task: rows are ranged over
-    partitions, and each partition's count moves the ids of those behind it."""
-    ranged = chunks.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).select("__part", "__start")
-    place = Window.partitionBy("__part").orderBy(*order)
-    return ranged.join(F.broadcast(starts), "__part").withColumn("idx", F.col("__start") + F.row_number().over(place) - 1).drop("__part", "__start")
+from ..operators.ids import with_ids
 
 
 def embedded(chunks: DataFrame, embedder: Callable[[str], list[float]] = V.hash_embedding) -> DataFrame:

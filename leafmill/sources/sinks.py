@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def write_index(chunks: DataFrame, path: str, partition_by: str | None = None, buckets: int | None = None) -> bool:
+def write_index(chunks: DataFrame, path: str, partition_by: str | None = None) -> bool:
     """K1, K2: chunks with their embedding as one Parquet table; nothing is written, and False comes back, without rows."""
     if chunks.isEmpty():
         return False
@@ -37,18 +37,15 @@ def write_paths(chunks: DataFrame, path: str) -> None:
     chunks.orderBy("idx").select(F.col("file_path").alias("value")).write.mode("overwrite").text(path)
 
 
-def merge_pages(*files: DataFrame) -> DataFrame:
-    """K7: the pages of several files in one sequence, in the order given, counted anew."""
-    from pyspark.sql import Window
-
-    whole = None
-    for place, pages in enumerate(files):
-        part = pages.withColumn("__file", F.lit(place))
-        whole = part if whole is None else whole.unionByName(part)
-    order = Window.orderBy("__file", "page_number")
-    return whole.withColumn("page_number", F.row_number().over(order)).drop("__file")
-
-
 def as_json(results: DataFrame) -> DataFrame:
     """K8: each result as a JSON object."""
     return results.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in results.columns))).alias("json"))
+
+
+def envelope(results: DataFrame) -> DataFrame:
+    """K8: one row with the whole response, {"results": [...]}, in the order of the rows' ``rank`` column, which is left out.
+    For results that are cut to a top_k, and so of bounded size."""
+    shown = [c for c in results.columns if c != "rank"]
+    ranked = results.select("rank", F.struct(*(F.col(f"`{c}`") for c in shown)).alias("row"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("rank", "row"))), lambda x: x["row"])
+    return ranked.agg(F.to_json(F.struct(rows.alias("results"))).alias("json"))

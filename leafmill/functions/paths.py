@@ -63,10 +63,14 @@ def _title(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else title_case(t))
 
 
+#: Fixed values (U6): numbers that a file name begins with, and where its words part.
+LEADING_NUMBER, WORDS_PART = r"^[0-9]+[-_]*", "([a-z])([A-Z])"
+
+
 def format_title(file: Column, exact: bool = True) -> Column:
     """A title from a file name. ``exact`` capitalises also after apostrophes and digits, which takes an Arrow UDF."""
-    name = F.regexp_replace(F.replace(file, F.lit(".pdf"), F.lit("")), r"^[0-9]+[-_]*", "")
-    spaced = F.translate(F.regexp_replace(name, "([a-z])([A-Z])", "$1 $2"), "_-", "  ")
+    name = F.regexp_replace(F.replace(file, F.lit(".pdf"), F.lit("")), LEADING_NUMBER, "")
+    spaced = F.translate(F.regexp_replace(name, WORDS_PART, "$1 $2"), "_-", "  ")
     return _title(spaced) if exact else F.initcap(spaced)
 
 

@@ -1,6 +1,7 @@
 """Text functions: normalisation, tokens, highlighting, result snippets, sanitising.
 
-Built-in expressions wherever Spark has them; Arrow UDFs for Unicode normalisation, the sanitiser and the snippets.
+Built-in expressions wherever Spark has them; Arrow UDFs for Unicode normalisation, the sanitiser, and for marks and
+snippets of texts whose characters Java and Python treat differently.
 """
 
 from __future__ import annotations
@@ -8,6 +9,8 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable
+from functools import lru_cache, reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -33,25 +36,43 @@ def prepare(text: str | None) -> str | None:
     return None if text is None else " ".join(normalize(text).split()).lower()
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+def _normalizer(quotes: bool):
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([normalize(t, quotes) for t in texts], index=texts.index, dtype=object)
+
+    return run
+
+
+def is_ascii(text: Column) -> Column:
+    """Whether every character takes one byte."""
+    return F.octet_length(text) == F.length(text)
 
 
 def normalize_text(text: Column, quotes: bool = True) -> Column:
-    """T1 and T2 as a column: only NFKC leaves the JVM."""
-    found = _nfkc(text)
-    return F.translate(found, QUOTES, PLAIN) if quotes else found
+    """T1 and T2 as a column: only texts that are not ASCII leave the JVM."""
+    return F.when(is_ascii(text), text).otherwise(_normalizer(quotes)(F.when(~is_ascii(text), text)))
+
+
+def _collapsed(text: Column) -> Column:
+    """Runs of ASCII white space become one blank, none is left at the ends. A single blank is no match, so little is replaced."""
+    return F.trim(F.regexp_replace(text, r"\x20*+[\t-\r\x1c-\x1f][\t-\r\x1c-\x20]*+|\x20{2,}+", " "))
 
 
 def collapse_space(text: Column) -> Column:
-    """Runs of white space become one blank, none is left at the ends."""
-    return F.trim(F.regexp_replace(text, WS + "+", " "))
+    """Runs of white space become one blank, none is left at the ends; a class of few ranges does for texts that are ASCII."""
+    return F.when(is_ascii(text), _collapsed(text)).otherwise(F.trim(F.regexp_replace(text, WS + "+", " ")))
+
+
+@F.pandas_udf(T.StringType())
+def _prepared(texts: pd.Series) -> pd.Series:
+    return pd.Series([prepare(t) for t in texts], index=texts.index, dtype=object)
 
 
 def prepare_text(text: Column) -> Column:
-    """Normalise, collapse white space, lower case. Computed once at ingest, as ``snippet_norm``."""
-    return F.lower(collapse_space(normalize_text(text)))
+    """Normalise, collapse white space, lower case; texts that are not ASCII in one go in an Arrow batch. Computed once at
+    ingest, as ``snippet_norm``."""
+    return F.when(is_ascii(text), F.lower(_collapsed(text))).otherwise(_prepared(F.when(~is_ascii(text), text)))
 
 
 def tokens(prepared: Column) -> Column:
@@ -83,17 +104,36 @@ def java_quote(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+#: What a query is prepared to, kept, as every line of a text asks for it.
+_wanted = lru_cache(maxsize=1024)(prepare)
+
+
+@lru_cache(maxsize=100_000)
+def _changes(ch: str) -> bool:
+    """Whether a character does not stand for itself, in either case, when texts are compared in lower case after NFKC."""
+    return ch == "ı" or len(ch.lower()) != 1 or unicodedata.normalize("NFKC", ch) != ch
+
+
+@lru_cache(maxsize=256)
+def _phrase(wanted: str) -> re.Pattern:
+    """A prepared phrase of ASCII characters, as it stands in a text none of whose characters ``_changes``."""
+    alike = {p: f"[{re.escape(p)}{''.join(q for q, x in zip(QUOTES, PLAIN) if x == p)}]" for p in set(PLAIN)}
+    return re.compile(r"\b" + r"\s+".join("".join(alike.get(ch) or re.escape(ch) for ch in w) for w in wanted.split(" ")) + r"\b", re.IGNORECASE)
+
+
 def highlight(text: str, query: str, parity: bool = False) -> str:
     """The whole phrase between word boundaries, found in the normalised text and marked in the original.
 
     By default positions are carried back through the normalisation; with ``parity`` the offsets of the normalised text
     are used as they are, and drift where it changed the length.
     """
-    wanted = prepare(query)
+    wanted = _wanted(query)
     if not wanted or not text:
         return text
     if parity:
         spans = [m.span() for m in re.finditer(r"\b" + re.escape(wanted) + r"\b", prepare(text))]
+    elif wanted.isascii() and (text.isascii() or not any(map(_changes, set(text)))):
+        spans = [m.span() for m in _phrase(wanted).finditer(text)]
     else:
         shown, origin = [], []
         for i, ch in enumerate(text):
@@ -163,8 +203,7 @@ def snippet_lines(text: str | None, query: str, least: int = 200, most: int = 50
     """Lines with any word of the query, five lines around them, marked, sanitised, cut last."""
     if text is None:
         return None
-    whole = prepare(query) or ""
-    words = whole.split()
+    words = (_wanted(query) or "").split()
     lines = text.split("\n")
     hits = [i for i, line in enumerate(lines) if not words or any(w in prepare(line) for w in words)]
     found = _lines_window(lines, hits, query, 5, 6, least, 5) if hits else highlight(text[:most], query)
@@ -204,28 +243,87 @@ def snippet_sentences(text: str | None, query: str, least: int = 200, most: int
 SNIPPETS = {"lines": snippet_lines, "first_line": snippet_first_line, "sentences": snippet_sentences}
 
 
+def _simple(text: Column) -> Column:
+    """Whether the built-in forms of T20 and T22 give what Python gives: ASCII but for the quotes and dashes of ``QUOTES``, and
+    without signs of markup."""
+    return ~text.rlike(f"[^\\x00-\\x7F{QUOTES}]|[<>&]")
+
+
+def _plain_query(query: str) -> bool:
+    return query.isascii()
+
+
+def marked(text: Column, query: str) -> Column:
+    """T20 in the JVM, for a query of ASCII characters and ``_simple`` texts: blanks of the query stand
+    for any white space, quotes and dashes for all that become them, and word boundaries are where Python's are."""
+    words = (prepare(query) or "").split()
+    if not words:
+        return text
+    alike = {p: f"[{re.escape(p)}{''.join(q for q, x in zip(QUOTES, PLAIN) if x == p)}]" for p in set(PLAIN)}
+    phrase = (WS + "+").join("".join(alike.get(ch) or java_quote(ch) for ch in w) for w in words)
+    inside = r"[\p{L}\p{N}_]"
+    edge = lambda ch, look, other: f"({look}!{inside})" if re.match(r"\w", ch) else f"({look}={other})"
+    before, after = edge(words[0][0], "?<", inside), edge(words[-1][-1], "?", inside)
+    return F.regexp_replace(text, f"(?iu){before}({phrase}){after}", "<mark>$1</mark>")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _lines_builtin(text: Column, query: str, least: int, most: int) -> Column:
+    """T22 in the JVM, under the conditions of ``marked``; there is nothing to sanitise then but the line ends."""
+    words = (prepare(query) or "").split()
+    quoted = any(p in w for w in words for p in PLAIN)
+    plain = lambda line: F.lower(F.translate(line, QUOTES, PLAIN) if quoted else line)
+    hit = lambda line: reduce(lambda a, b: a | b, (F.contains(plain(line), F.lit(w)) for w in words)) if words else F.lit(True)
+    show = lambda lines, a, b: F.array_join(F.transform(F.slice(lines, a + 1, b - a), lambda line: marked(line, query)), "\n")
+
+    def around(lines: Column, hits: Column) -> Column:
+        start, end = F.greatest(F.element_at(hits, 1) - 5, F.lit(0)), F.least(F.element_at(hits, -1) + 6, F.size(lines))
+        wide = show(lines, F.greatest(start - 5, F.lit(0)), F.least(end + 5, F.size(lines)))
+        return _let(show(lines, start, end), lambda narrow: F.when(F.length(narrow) >= least, narrow).otherwise(wide))
+
+    def of(lines: Column) -> Column:
+        places = F.filter(F.transform(lines, lambda line, i: F.when(hit(line), i)), lambda i: i.isNotNull())
+        return _let(places, lambda hits: F.when(F.size(hits) == 0, marked(F.substring(text, 1, most), query)).otherwise(around(lines, hits)))
+
+    return F.substring(F.replace(_let(F.split(text, "\n", -1), of), F.lit("\n"), F.lit("<br>")), 1, most)
+
+
 def snippet(text: Column, query: str, kind: str = "lines") -> Column:
-    """A result snippet as a column, in Arrow batches; to be used on matching rows only."""
+    """A result snippet as a column; to be used on matching rows only. T22 stays in the JVM for texts that are
+    ``_simple``; the other kinds, which need a sanitiser or a sentence splitter, run in Arrow batches."""
     make = SNIPPETS[kind]
 
     @F.pandas_udf(T.StringType())
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: make(t, query))
+        return pd.Series([None if t is None else make(t, query) for t in texts], index=texts.index, dtype=object)
 
-    return run(text)
+    if kind != "lines" or not _plain_query(query):
+        return run(text)
+    simple = _simple(text)
+    return F.when(simple, _lines_builtin(text, query, 200, 500)).otherwise(run(F.when(~simple, text)))
 
 
 def highlighted(text: Column, query: str, parity: bool = False) -> Column:
-    """T20 as a column."""
+    """T20 as a column: in the JVM for ``_simple`` texts, but for the drifting offsets of ``parity``."""
 
     @F.pandas_udf(T.StringType())
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else highlight(t, query, parity))
+        return pd.Series([None if t is None else highlight(t, query, parity) for t in texts], index=texts.index, dtype=object)
 
-    return run(text)
+    if parity or not _plain_query(query):
+        return run(text)
+    simple = _simple(text)
+    return F.when(simple, marked(text, query)).otherwise(run(F.when(~simple, text)))
 
 
 @F.pandas_udf(T.StringType())
 def sanitize_html(texts: pd.Series) -> pd.Series:
-    """T27 as a column."""
-    return texts.map(sanitize)
+    """T27 as a column: only texts with markup are parsed."""
+    found = texts.copy()
+    with_markup = texts.notna() & texts.str.contains("[<>&]", regex=True, na=False)
+    found[with_markup] = [sanitize(t) for t in texts[with_markup]]
+    return found

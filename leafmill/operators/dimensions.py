@@ -8,13 +8,14 @@ from ..functions import paths as P
 
 #: What a file without an entry gets.
 UNKNOWN, UNKNOWN_PRIORITY = "Unknown", 999
-#: Rows of a dimension that may be broadcast; beyond that the planner chooses.
-BROADCAST_ROWS = 100_000
+#: Bytes of a dimension that may be broadcast; beyond that the planner chooses.
+BROADCAST_BYTES = 32 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it is small, counted first: a scan of metadata only."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Marked for broadcast if its rows, written out as JSON, are small in all: an upper bound of their size, counted first."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))).alias("n")).first()["n"]
+    return F.broadcast(df) if (size or 0) <= BROADCAST_BYTES else df
 
 
 def lookup_books(chunks: DataFrame, books: DataFrame) -> DataFrame:
@@ -73,6 +74,11 @@ def facets(books: DataFrame, order: tuple[str, ...] = P.GROUP_ORDER) -> DataFram
     return row.select("authors", names.alias("groups"), F.transform("t", lambda x: x["title"]).alias("book_titles"), by_group.alias("titles_by_group"))
 
 
+def legacy_facets(books: DataFrame) -> DataFrame:
+    """Q12: one row with the distinct authors, groups and titles, each in code-point order, without regard to the group order."""
+    return books.agg(*(F.array_sort(F.collect_set(c)).alias(name) for c, name in (("author", "authors"), ("group", "groups"), ("book_title", "book_titles"))))
+
+
 def allow_list(authors: DataFrame, order: list[str]) -> DataFrame:
     """SO5: the listed authors that exist, in the list's order."""
     return authors.agg(F.array_intersect(F.array(*map(F.lit, order)), F.collect_set("author")).alias("authors"))
@@ -83,15 +89,19 @@ def dependent_titles(books: DataFrame, group: str | None) -> DataFrame:
     return (books.filter(F.col("group") == group) if group else books).select("book_title").orderBy("book_title")
 
 
-def books_from_files(files: DataFrame, path_col: str = "path") -> DataFrame:
-    """A dimension made from paths: title from the name, group and author from the folder. Of files with one
-    name the last path wins."""
+#: Fixed values (U8): what every book made from a file has.
+FILE_DEFAULTS = {"priority": 99, "language": "English", "isbn": "", "format": "PDF", "availability": "Public"}
+FILE_TAGS = ("Yoga", "Philosophy", "Spirituality")
+
+
+def books_from_files(files: DataFrame, path_col: str = "path", folders: dict[str, tuple[str, str]] | None = None, defaults: dict[str, object] = FILE_DEFAULTS, tags: tuple[str, ...] = FILE_TAGS) -> DataFrame:
+    """A dimension made from paths: title from the name, group and author from the folder (``folders`` as in
+    ``folder_group``), the rest from ``defaults`` and ``tags``. Of files with one name the last path wins."""
     parts = files.select(F.col(path_col).alias("path"), P.basename(F.col(path_col)).alias("pdf_filename"), F.element_at(F.split(path_col, "/"), -2).alias("folder")).filter(F.col("pdf_filename").endswith(".pdf"))
     last = parts.groupBy("pdf_filename").agg(F.max_by("folder", "path").alias("folder"))
-    return last.select(
-        "pdf_filename", P.format_title(F.col("pdf_filename")).alias("book_title"), P.capitalize(F.col("folder")).alias("author"), P.folder_group(F.col("folder")).alias("group"), F.lit(99).alias("priority"), F.lit("English").alias("language"), F.lit("").alias("isbn"),
-        F.array(F.lit("Yoga"), F.lit("Philosophy"), F.lit("Spirituality")).alias("tags"), F.lit("PDF").alias("format"), F.lit("Public").alias("availability"), P.folder_description(F.col("folder")).alias("description"),
-    )
+    made = last.select("pdf_filename", P.format_title(F.col("pdf_filename")).alias("book_title"), P.capitalize(F.col("folder")).alias("author"), P.folder_group(F.col("folder"), folders).alias("group"), P.folder_description(F.col("folder"), folders).alias("description"))
+    made = made.withColumns({c: F.lit(v) for c, v in defaults.items()}).withColumn("tags", F.array(*map(F.lit, tags)))
+    return made.select("pdf_filename", "book_title", "author", "group", "priority", "language", "isbn", "tags", "format", "availability", "description")
 
 
 def ingest_counts(chunks: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as TX
 from . import filters as P
@@ -48,9 +48,9 @@ def with_prepared(chunks: DataFrame) -> DataFrame:
 
 def with_defaults(results: DataFrame) -> DataFrame:
     """null attributes get their defaults; a page number is text, 'N/A' where unknown; a missing priority is 0."""
-    for c, default in DEFAULTS.items():
-        results = results.withColumn(c, F.coalesce(F.col(f"`{c}`") if c in results.columns else F.lit(None).cast("string"), F.lit(default)))
-    return results.withColumn("page_number", F.coalesce(F.col("page_number").cast("string"), F.lit("N/A"))).withColumn("priority", F.coalesce("priority", F.lit(0)))
+    made = {c: f"coalesce(`{c}`, '{default}')" if c in results.columns else f"'{default}'" for c, default in DEFAULTS.items()}
+    made |= {"page_number": "coalesce(cast(page_number AS string), 'N/A')", "priority": "coalesce(priority, 0)"}
+    return results.withColumns({c: F.expr(x) for c, x in made.items()})
 
 
 RESULT = ("author", "book_title", "chapter_name", "file_path", "group", "page_number", "pdf_url", "priority", "category_priority", "snippet", "distance")
@@ -81,11 +81,18 @@ def all_words_match(chunks: DataFrame, query: str, filters: dict | None = None,
 
 
 def _accepted(flagged: DataFrame, query: str, words: list[str], least: int, kind: str | None) -> DataFrame:
-    first, third = (TX.snippet(F.col("snippet"), query, kind), TX.snippet(F.col("snippet"), " ".join(words), kind)) if kind else (F.col("snippet"), F.col("snippet"))
-    cut = flagged.withColumn("__s1", first).withColumn("__s3", third)
-    exact = F.col("__exact") & (F.length("__s1") >= least)
-    tier = F.when(exact, EXACT).when(F.col("__words") & (F.length("__s3") >= least), ALL_WORDS)
-    return cut.withColumn("category_priority", tier).withColumn("__snippet", F.when(F.col("category_priority") == EXACT, F.col("__s1")).otherwise(F.col("__s3")))
+    """The tier that accepts each row, if any, and the snippet it shows there. A snippet for all words is made only where the
+    one for the phrase doesn't serve, and where both read alike there is one."""
+    text, joined = F.col("snippet"), " ".join(words)
+    make = (lambda c, q: TX.snippet(c, q, kind)) if kind else (lambda c, q: c)
+    if not kind or TX.prepare(query) == joined:
+        cut = flagged.withColumn("__snippet", make(F.when(F.col("__exact") | F.col("__words"), text), joined))
+        long = F.length("__snippet") >= least
+        return cut.withColumn("category_priority", F.when(F.col("__exact") & long, EXACT).when(F.col("__words") & long, ALL_WORDS))
+    cut = flagged.withColumn("__s1", make(F.when(F.col("__exact"), text), query))
+    exact = F.coalesce(F.length("__s1") >= least, F.lit(False))
+    cut = cut.withColumn("__s3", make(F.when(F.col("__words") & ~exact, text), joined))
+    return cut.withColumn("category_priority", F.when(exact, EXACT).when(F.length("__s3") >= least, ALL_WORDS)).withColumn("__snippet", F.when(exact, F.col("__s1")).otherwise(F.col("__s3")))
 
 
 def _lexical(rows: DataFrame, query: str, least: int, kind: str | None) -> DataFrame:
@@ -93,17 +100,24 @@ def _lexical(rows: DataFrame, query: str, least: int, kind: str | None) -> DataF
     words = list(dict.fromkeys(TX.prepare(query).split()))
     prepared = with_prepared(rows)
     phrase, every = P.exact_phrase(F.col("snippet_norm"), TX.prepare(query)), P.all_words(F.col("tokens"), words)
-    flagged = prepared.filter(phrase | every).withColumn("__exact", phrase).withColumn("__words", every)
+    # All words as substrings first: that is cheap, holds of both tiers, and spares most rows the look at their tokens.
+    flagged = prepared.filter(P.all_substrings(F.col("snippet_norm"), words)).filter(phrase | every).withColumn("__exact", phrase).withColumn("__words", every)
     found = _accepted(flagged, query, words, least, kind).filter(F.col("category_priority").isNotNull())
     found = found.withColumn("snippet", F.col("__snippet")).withColumn("distance", F.when(F.col("category_priority") == EXACT, 0.0).otherwise(0.1)).withColumn("ord", F.col("idx").cast("bigint"))
     return with_defaults(found).select("idx", *RESULT, "ord")
 
 
+def _ranked(hits: DataFrame, metric: str) -> DataFrame:
+    """The hits, at most overfetch * top_k, with their place in the order of their scores."""
+    key = F.col("score") if metric == "l2" else -F.col("score")
+    whole = hits.agg(F.array_sort(F.collect_list(F.struct(key.alias("key"), "idx", "score"))).alias("hits"))
+    return whole.select(F.posexplode("hits").alias("place", "hit")).select("hit.idx", "hit.score", "place")
+
+
 def semantic_match(chunks: DataFrame, vectors: DataFrame, query: str, query_vector, top_k: int, filters: dict | None = None, min_snippet: int = 10, exclude: DataFrame | None = None, overfetch: int | None = V.OVERFETCH, metric: str = "ip", kind: str | None = "lines", without_lexical: bool = False) -> DataFrame:
     """Q3, V9: the best ``overfetch`` * top_k of all vectors, then exclusion, join (F10, J2), filters and snippet, then the
     first top_k by similarity. With ``overfetch`` None the filters come first and nothing is cut (V10). ``without_lexical``
     leaves out rows that the lexical tiers accept, by looking at the few hits themselves instead of joining those tiers."""
-    best = F.asc("score") if metric == "l2" else F.desc("score")
     if overfetch is None:
         kept = P.apply_filters(chunks, P.used_filters(filters))
         hits = V.scored(vectors.join(kept.select("idx"), "idx", "left_semi"), query_vector, metric).select("idx", "score")
@@ -111,6 +125,8 @@ def semantic_match(chunks: DataFrame, vectors: DataFrame, query: str, query_vect
         hits = V.knn(vectors, query_vector, top_k * overfetch, metric)
     if exclude is not None:
         hits = hits.join(exclude.select("idx").distinct(), "idx", "left_anti")
+    if overfetch is not None:
+        hits = _ranked(hits, metric)
     rows = P.apply_filters(chunks.filter(F.col("snippet").isNotNull()).join(hits, "idx"), P.used_filters(filters))
     if without_lexical:
         words = list(dict.fromkeys(TX.prepare(query).split()))
@@ -118,9 +134,7 @@ def semantic_match(chunks: DataFrame, vectors: DataFrame, query: str, query_vect
         prepared = with_prepared(rows.withColumn("snippet", F.when(F.col("score").isNotNull(), F.col("snippet"))))
         flagged = prepared.withColumn("__exact", P.exact_phrase(F.col("snippet_norm"), TX.prepare(query))).withColumn("__words", P.all_words(F.col("tokens"), words))
         rows = _accepted(flagged, query, words, min_snippet, kind).filter(F.col("category_priority").isNull()).select(*rows.columns)
-    # The rank is over at most overfetch * top_k rows, or stays a sort key where nothing is cut.
-    ordinal = F.row_number().over(Window.orderBy(best, "idx")) if overfetch is not None else F.col("idx")
-    tier = _tier(rows, SEMANTIC, F.col("score"), ordinal, query, min_snippet, kind)
+    tier = _tier(rows, SEMANTIC, F.col("score"), F.col("place") if overfetch is not None else F.col("idx"), query, min_snippet, kind)
     return tier.orderBy("ord").limit(top_k) if overfetch is not None else tier
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import logging
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators import dimensions as D
-from ..operators.search import Request, search
-from ..sources.sinks import as_json
+from ..operators.ranking import tier_order
+from ..operators.search import SEARCH_TYPES, Request, search
+from ..sources.sinks import as_json, envelope
+
+log = logging.getLogger(__name__)  # K9: where it goes is the application's affair
 
 DEFAULT_TOP_K = 100
 
@@ -27,6 +32,16 @@ def get_search(chunks: DataFrame, vectors: DataFrame, params: dict[str, str | No
     return as_json(found.drop("idx", "ord"))
 
 
+def get_response(chunks: DataFrame, vectors: DataFrame, params: dict[str, str | None], query_vector=None) -> DataFrame:
+    """Q10, K8: the whole response as one JSON object, {"results": [...]}: at most top_k results, in their order."""
+    request = parse_request(params)
+    log.info("search %r, %s, filters %s", request.query, request.search_type, request.filters)
+    found = search(chunks, vectors, request, query_vector, keep_ids=True)
+    order = tier_order(request.search_type if request.search_type in SEARCH_TYPES else "all")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))  # top_k rows at most
+    return envelope(ranked.drop("idx", "ord"))
+
+
 def get_filters(books: DataFrame) -> DataFrame:
     """Q11."""
     return as_json(D.facets(books))

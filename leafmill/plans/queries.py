@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import paths as P
 from ..functions import text as TX
@@ -14,8 +15,11 @@ from ..operators import filters as FI
 from ..operators import ranking as R
 from ..operators import search as S
 from ..operators import vectors as V
+from ..operators.ids import with_ids
 from ..sources import sinks
+from ..sources.scratch import shared_dir
 from ..sources.tables import table
+from ..streaming import requests as RS
 from . import api, ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +59,30 @@ def _prepared_sql(x: str) -> str:
     return f"lower({_flat_sql(_nfkc_sql(x))})"
 
 
+def _title_sql(file: str) -> str:
+    """Runs of letters begin with a capital and go on small."""
+    spaced = f"translate(regexp_replace(regexp_replace(replace({file}, '.pdf', ''), '^[0-9]+[-_]*', ''), '([a-z])([A-Z])', '\\1 \\2', 'g'), '_-', '  ')"
+    return f"array_to_string(list_transform(regexp_extract_all({spaced}, '\\p{{L}}+|\\P{{L}}+'), lambda x: upper(left(x, 1)) || lower(substr(x, 2))), '')"
+
+
+def _marked_sql(x: str, phrase: str) -> str:
+    """T20 of an ASCII phrase; a letter may be full-width."""
+    either = lambda ch: f"[{ch}{_WIDE[_NARROW.index(ch)]}{_WIDE[_NARROW.index(ch.upper())]}]"
+    words = _SPACE.join("".join(map(either, w)) for w in phrase.split())
+    return f"regexp_replace({x}, {_q(rf'(^|[^0-9A-Za-z_])({words})($|[^0-9A-Za-z_])')}, '\\1<mark>\\2</mark>\\3', 'gi')"
+
+
+def _snippets_sql(phrase: str) -> str:
+    """T22 of every chunk, as the table sn (idx, text)."""
+    hit = " OR ".join(f"contains(lower({_nfkc_sql('l[i]')}), {_q(w)})" for w in phrase.split())
+    show = lambda a, b: f"array_to_string(list_transform(l[{a} + 1:{b}], lambda x: {_marked_sql('x', phrase)}), chr(10))"
+    return f"""sn0 AS (SELECT idx, snippet, string_split(snippet, chr(10)) AS l FROM metadata WHERE snippet IS NOT NULL),
+  sn1 AS (SELECT *, list_filter(range(1, len(l) + 1), lambda i: {hit}) AS h FROM sn0),
+  sn2 AS (SELECT *, greatest(0, h[1] - 6) AS a, least(len(l), h[-1] + 5) AS b FROM sn1),
+  sn3 AS (SELECT *, {show('a', 'b')} AS narrow, {show('greatest(0, a - 5)', 'least(len(l), b + 5)')} AS wide FROM sn2),
+  sn AS (SELECT idx, substring(replace(CASE WHEN len(h) = 0 THEN {_marked_sql('substring(snippet, 1, 500)', phrase)} WHEN length(narrow) >= 200 THEN narrow ELSE wide END, chr(10), '<br>'), 1, 500) AS text FROM sn3)"""
+
+
 _DOT = "list_inner_product(embedding::DOUBLE[], q::DOUBLE[])"
 _V = "v AS MATERIALIZED (SELECT idx, embedding::DOUBLE[] AS e FROM vectors WHERE embedding IS NOT NULL), f AS (SELECT e AS q FROM v WHERE list_inner_product(e, e) > 0 ORDER BY idx LIMIT 1)"
 _SCORE = "list_inner_product(e, q)"
@@ -96,9 +124,8 @@ def _meta(spark, d):
 
 
 def _vector(spark, d) -> list[float]:
-    """The first vector that has a direction: one row, by a bounded heap."""
-    usable = table(spark, d, "vectors").filter(F.col("embedding").isNotNull()).filter(V.norm(F.col("embedding")) > 0)
-    return [float(x) for x in usable.orderBy("idx").select("embedding").first()[0]]
+    """The first vector that has a direction."""
+    return V.first_vector(table(spark, d, "vectors"))
 
 
 # Text
@@ -124,7 +151,7 @@ def dehyphenate(spark, d):
     return _meta(spark, d).select("idx", TX.dehyphenate(F.col("snippet")).alias("text"))
 
 
-@query()
+@query(f"SELECT idx, {_marked_sql('snippet', COMMON)} AS text FROM metadata WHERE snippet IS NOT NULL")
 def highlight(spark, d):
     return _meta(spark, d).filter("snippet IS NOT NULL").select("idx", TX.highlighted(F.col("snippet"), COMMON).alias("text"))
 
@@ -134,7 +161,7 @@ def highlight_legacy(spark, d):
     return _meta(spark, d).select("idx", TX.highlight_plain(F.col("snippet"), COMMON).alias("text"))
 
 
-@query()
+@query(f"WITH {_snippets_sql(COMMON)} SELECT idx, text FROM sn")
 def snippet_lines(spark, d):
     return _meta(spark, d).filter("snippet IS NOT NULL").select("idx", TX.snippet(F.col("snippet"), COMMON).alias("text"))
 
@@ -204,6 +231,18 @@ def ingest_documents(spark, d):
     return ingest.chunks_from_pages(pages, table(spark, d, "books"), BASE, ROOT)
 
 
+@query("SELECT count(*) AS n, count(*) AS n_distinct, 0::BIGINT AS lowest, count(*) - 1 AS highest, CAST(sum(doc_id) AS BIGINT) AS docs FROM documents")
+def ingest_ids(spark, d):
+    """Dense ids over whole documents, in the order of their texts; the texts make the rows that are moved large."""
+    ids = with_ids(table(spark, d, "documents").select("doc_id", "text"), ["text"])
+    return ids.agg(F.count("*").alias("n"), F.count_distinct("idx").alias("n_distinct"), F.min("idx").alias("lowest"), F.max("idx").alias("highest"), F.sum("doc_id").alias("docs"))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY written_at NULLS FIRST, doc_id) - 1 AS idx FROM documents")
+def ingest_order(spark, d):
+    return with_ids(table(spark, d, "documents").select("doc_id", "written_at", "text"), ["written_at", "doc_id"]).select("doc_id", "idx")
+
+
 # Lexical search
 
 
@@ -378,10 +417,14 @@ def rehighlight(spark, d):
     return table(spark, d, "results").select("request_id", TX.highlight_plain(F.col("snippet"), "the").alias("text"))
 
 
-@query()
+_ALL_SHOWN = f"WITH {_snippets_sql(PHRASE)}, " + _ALL.replace("WITH ", "", 1).replace("FROM metadata WHERE snippet IS NOT NULL AND length(snippet) >= 10", "FROM metadata JOIN sn USING (idx) WHERE length(text) >= 10")
+
+
+@query(f"{_ALL_SHOWN} SELECT idx, category_priority, r.priority, round(distance, 6) AS distance, text AS snippet FROM (SELECT * FROM r ORDER BY category_priority, priority DESC, distance DESC, ord LIMIT {K}) r JOIN sn USING (idx)")
 def search_all(spark, d):
-    """The same with its snippets."""
-    return S.search(_meta(spark, d), table(spark, d, "vectors"), S.Request(PHRASE, K), _vector(spark, d))
+    """The same with its snippets, whose length after markup decides."""
+    found = S.search(_meta(spark, d), table(spark, d, "vectors"), S.Request(PHRASE, K), _vector(spark, d))
+    return found.select("idx", "category_priority", "priority", F.round("distance", 6).alias("distance"), "snippet")
 
 
 @query(f"""{_ALL}, p AS (SELECT idx, CASE WHEN score IS NOT NULL AND category_priority = 3 THEN 2 ELSE category_priority END AS category_priority, CASE WHEN score IS NOT NULL AND category_priority = 3 THEN score ELSE distance END AS distance, priority, ord FROM r LEFT JOIN knn USING (idx))
@@ -411,22 +454,18 @@ def hybrid_dedupe_snippet(spark, d):
     return found.select("idx", "priority", F.round("distance", 6).alias("distance"))
 
 
-@query("SELECT request_id, rank, priority, distance FROM (SELECT request_id, priority, distance, CAST(row_number() OVER (PARTITION BY request_id ORDER BY priority, distance, file_path, page_number, snippet) AS INTEGER) AS rank FROM results WHERE distance IS NOT NULL AND priority IS NOT NULL AND file_path IS NOT NULL AND page_number IS NOT NULL AND snippet IS NOT NULL)")
+@query("SELECT request_id, rank, priority, distance FROM (SELECT request_id, priority, distance, CAST(row_number() OVER (PARTITION BY request_id ORDER BY priority NULLS FIRST, distance NULLS FIRST, file_path NULLS FIRST, page_number NULLS FIRST, snippet NULLS FIRST) AS INTEGER) AS rank FROM results)")
 def order_priority_asc(spark, d):
-    from pyspark.sql import Window
-
-    rows = table(spark, d, "results").dropna(subset=["distance", "priority", "file_path", "page_number", "snippet"])
+    """All rows; nulls stand first where a column ascends, last where it descends."""
     order = Window.partitionBy("request_id").orderBy(*R.tier_order("legacy", "file_path"), "page_number", "snippet")
-    return rows.withColumn("rank", F.row_number().over(order)).select("request_id", "rank", "priority", "distance")
+    return table(spark, d, "results").withColumn("rank", F.row_number().over(order)).select("request_id", "rank", "priority", "distance")
 
 
-@query("SELECT request_id, rank, priority, distance FROM (SELECT request_id, priority, distance, CAST(row_number() OVER (PARTITION BY request_id ORDER BY distance DESC, priority, file_path, page_number, snippet) AS INTEGER) AS rank FROM results WHERE distance IS NOT NULL AND priority IS NOT NULL AND file_path IS NOT NULL AND page_number IS NOT NULL AND snippet IS NOT NULL)")
+@query("SELECT request_id, rank, priority, distance FROM (SELECT request_id, priority, distance, CAST(row_number() OVER (PARTITION BY request_id ORDER BY distance DESC NULLS LAST, priority NULLS FIRST, file_path NULLS FIRST, page_number NULLS FIRST, snippet NULLS FIRST) AS INTEGER) AS rank FROM results)")
 def order_score_first(spark, d):
-    from pyspark.sql import Window
-
-    rows = table(spark, d, "results").dropna(subset=["distance", "priority", "file_path", "page_number", "snippet"])
+    """All rows; nulls stand first where a column ascends, last where it descends."""
     order = Window.partitionBy("request_id").orderBy(*R.tier_order("score_first", "file_path"), "page_number", "snippet")
-    return rows.withColumn("rank", F.row_number().over(order)).select("request_id", "rank", "priority", "distance")
+    return table(spark, d, "results").withColumn("rank", F.row_number().over(order)).select("request_id", "rank", "priority", "distance")
 
 
 @query("SELECT category_priority, count(*) AS n FROM results GROUP BY 1")
@@ -483,9 +522,23 @@ def facet_distinct_titles(spark, d):
     return D.distinct_titles(table(spark, d, "books"))
 
 
-@query()
+_RANK = "CASE \"group\" WHEN 'CWSA' THEN 1 WHEN 'CWM' THEN 2 WHEN 'Disciples' THEN 3 ELSE 4 END"
+
+
+@query(f"""SELECT array_to_string(list_sort(list(DISTINCT author)), '|') AS authors, (SELECT string_agg("group", '|' ORDER BY {_RANK}, "group") FROM (SELECT DISTINCT "group" FROM books)) AS groups, string_agg(book_title, '|' ORDER BY {_RANK}, "group", book_title) AS book_titles,
+  (SELECT string_agg("group" || ': ' || t, '; ' ORDER BY {_RANK}, "group") FROM (SELECT "group", string_agg(book_title, ', ' ORDER BY book_title) AS t FROM books GROUP BY 1)) AS titles_by_group FROM books""")
 def facets(spark, d):
-    return api.get_filters(table(spark, d, "books"))
+    """Q11, every list in its order."""
+    row = D.facets(table(spark, d, "books"))
+    by_group = F.transform("groups", lambda g: F.concat(g, F.lit(": "), F.array_join(F.element_at("titles_by_group", g), ", ")))
+    return row.select(*(F.array_join(c, "|").alias(c) for c in ("authors", "groups", "book_titles")), F.array_join(by_group, "; ").alias("titles_by_group"))
+
+
+@query("""SELECT array_to_string(list_sort(list(DISTINCT author)), '|') AS authors, array_to_string(list_sort(list(DISTINCT "group")), '|') AS groups, array_to_string(list_sort(list(DISTINCT book_title)), '|') AS book_titles FROM books""")
+def facets_legacy(spark, d):
+    """Q12: distinct authors, groups and titles, each by name."""
+    row = D.legacy_facets(table(spark, d, "books"))
+    return row.select(*(F.array_join(c, "|").alias(c) for c in ("authors", "groups", "book_titles")))
 
 
 @query("SELECT array_to_string(list_filter(['Mirelle Adravane', 'Nobody', 'Kesh Ivarthen', 'Orlin Sundrai'], lambda x: list_contains(l, x)), '|') AS authors FROM (SELECT list(DISTINCT author) AS l FROM books)")
@@ -508,9 +561,11 @@ def headings_lookup(spark, d):
     return D.lookup_headings(_meta(spark, d), table(spark, d, "page_headings")).select("idx", "chapter_name")
 
 
-@query()
+@query(f"""WITH f AS (SELECT regexp_extract(file_path, '[^/]*$') AS pdf_filename, arg_max(string_split(file_path, '/')[-2], file_path) AS folder FROM metadata WHERE ends_with(file_path, '.pdf') GROUP BY 1)
+  SELECT pdf_filename, {_title_sql('pdf_filename')} AS book_title, upper(left(folder, 1)) || lower(substr(folder, 2)) AS author, CASE lower(folder) WHEN 'cwm' THEN 'CWM' WHEN 'disciples' THEN 'Disciples' ELSE 'CWSA' END AS "group", 99 AS priority,
+    'English' AS language, '' AS isbn, 'Yoga|Philosophy|Spirituality' AS tags, 'PDF' AS format, 'Public' AS availability, '' AS description FROM f""")
 def books_from_files(spark, d):
-    return D.books_from_files(_meta(spark, d).filter("file_path IS NOT NULL").select(F.col("file_path").alias("path")).distinct())
+    return D.books_from_files(_meta(spark, d).filter("file_path IS NOT NULL").select(F.col("file_path").alias("path")).distinct()).withColumn("tags", F.array_join("tags", "|"))
 
 
 # Paths and display
@@ -536,12 +591,12 @@ def encode_names(spark, d):
     return table(spark, d, "books").select("pdf_filename", P.encode_uri(F.col("pdf_filename")).alias("encoded")).distinct()
 
 
-@query()
+@query(f"SELECT idx, 'viewer.html?file=' || url_encode(pdf_url) || '#page=' || coalesce(page_number, 1) || '&search=' || url_encode({_q(PHRASE)}) AS link FROM metadata")
 def viewer_links(spark, d):
     return _meta(spark, d).select("idx", P.viewer_link(F.col("pdf_url"), F.coalesce("page_number", F.lit(1)), F.lit(PHRASE)).alias("link"))
 
 
-@query()
+@query(f"SELECT pdf_filename, {_title_sql('pdf_filename')} AS title FROM books")
 def format_titles(spark, d):
     return table(spark, d, "books").select("pdf_filename", P.format_title(F.col("pdf_filename")).alias("title"))
 
@@ -589,19 +644,17 @@ def results_per_request(spark, d):
     return table(spark, d, "results").groupBy("request_id").agg(F.count("*").alias("n_results"))
 
 
-@query()
+@query("""SELECT date_trunc('hour', requested_at) AS hour, search_type, count(*) AS n FROM (SELECT DISTINCT request_id, search_type, requested_at FROM requests) GROUP BY 1, 2""")
 def requests_stream(spark, d):
-    """The log read as a stream: repeats dropped within the watermark, counted by hour."""
-    from ..sources.scratch import shared_dir
-    from ..streaming import requests as RS
+    """The log read as a stream: repeats dropped within the watermark, counted by hour. The log is one file and so one batch,
+    in which nothing is late."""
+    path = f"{shared_dir(spark)}/requests-{uuid.uuid4().hex}"
+    counts = RS.run_once(RS.hourly_counts(RS.request_stream(spark, d + "/", "*requests*")), path, "complete")
+    return counts.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
-    import uuid
 
-    name = "requests_" + uuid.uuid4().hex
-    return RS.run_once(RS.hourly_counts(RS.request_stream(spark, d + "/", "*requests*")), name, "complete", f"{shared_dir(spark)}/{name}")
-
-
-@query()
+@query("""SELECT CAST(row_number() OVER (ORDER BY file_path, page_number) AS INTEGER) AS page_number, file_path, array_to_string(h, ' | ') AS chapter_name
+  FROM (SELECT file_path, unnest(map_keys(headings)) AS page_number, unnest(map_values(headings)) AS h FROM page_headings)""")
 def merged_pages(spark, d):
     pages = C.explode_pages(table(spark, d, "page_headings"), "file_path", "headings", "headings")
-    return sinks.merge_pages(pages)
+    return C.merge_pages(pages, order=("file_path", "page_number")).select("page_number", "file_path", C.chapter_name(F.col("headings")).alias("chapter_name"))

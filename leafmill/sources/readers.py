@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import logging
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 CHUNK_SCHEMA = "idx bigint, file_path string, pdf_url string, book_title string, author string, `group` string, priority int, chapter_name string, snippet string, page_number int"
@@ -51,10 +53,13 @@ def pdf_file(spark: SparkSession, directory: str, subpath: str) -> DataFrame:
     return pdf_files(spark, directory).filter(F.col("path").endswith("/" + subpath))
 
 
-def pages(files: DataFrame, extract: PageExtractor) -> DataFrame:
-    """(path, page_number, text, headings) through any extractor. A file that fails keeps the pages read so far."""
+def pages(files: DataFrame, extract: PageExtractor, failed: Accumulator | None = None) -> DataFrame:
+    """(path, page_number, text, headings) through any extractor. A file that fails keeps the pages read so far; it
+    is logged on its executor and counted in ``failed``, an accumulator of the session's, which a task that is run again
+    counts again."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        log = logging.getLogger("leafmill.pages")
         for batch in batches:
             rows = []
             for path, content in zip(batch["path"], batch["content"]):
@@ -62,7 +67,9 @@ def pages(files: DataFrame, extract: PageExtractor) -> DataFrame:
                     for number, text, headings in extract(bytes(content)):
                         rows.append((path, number, text, headings))
                 except Exception:  # noqa: BLE001 - a broken file must not end the job
-                    continue
+                    log.exception("no more pages from %s", path)
+                    if failed is not None:
+                        failed.add(1)
             yield pd.DataFrame(rows, columns=["path", "page_number", "text", "headings"])
 
     return files.mapInPandas(run, "path string, page_number int, text string, headings array<string>")

@@ -28,14 +28,18 @@ def hourly_counts(requests: DataFrame, delay: str = "3 days") -> DataFrame:
     return counted.select(F.col("window.start").alias("hour"), "search_type", "n")
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Everything that is there now, through a memory sink; for tests and small backfills."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
+def run_once(stream: DataFrame, target: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
+    """Everything that is there now, written to the Parquet table ``target`` and read back; for tests and backfills.
+
+    In mode 'append' micro-batches are appended; in 'complete' each one replaces the table, so the last one stands.
+    """
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint or target + "-checkpoint")
+    if mode == "append":
+        query = writer.format("parquet").option("path", target).start()
+    else:
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(target)).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(target)
 
 
 def append_chunks(stream: DataFrame, target: str, checkpoint: str):

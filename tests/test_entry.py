@@ -57,3 +57,14 @@ def test_filters_and_columns_reach_the_scan(spark, data):
     assert "EqualTo(group,CWSA)" in plan
     plan = QUERIES["ingest_counts"](spark, data)._jdf.queryExecution().toString()
     assert "snippet" not in plan.split("ReadSchema")[-1]
+
+
+@pytest.mark.parametrize("name", CORE)
+def test_plans_scale(spark, data, name):
+    """No window over all rows, no product of two tables, no row-at-a-time Python."""
+    plan = QUERIES[name](spark, data)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan
+    assert "BroadcastNestedLoopJoin" not in plan
+    for line in plan.split("\n"):
+        if "Window [" in line:
+            assert not line.rstrip().endswith("]") or "], [" in line, line

@@ -33,37 +33,45 @@ def test_chunk_limits(spark):
     assert C.chunk_words(df, "t", [], 2, 5).collect() == []
 
 
-def brute_chapters(text):
-    import re
-
-    heading = re.compile(r"^(Chapter\s+\w+.*|PART\s+\w+.*|BOOK\s+\w+.*|[A-Z][A-Z\s\-',:&]+)$")
-    out, title, body, lines = [], "Introduction", "", [x for x in text.split("\n")]
-    for k, raw in enumerate(lines):
-        line = raw.strip()
-        if heading.match(line):
-            if body.strip():
-                out.append((title, body))
-            body, title = "", line
-            nxt = lines[k + 1].strip() if k + 1 < len(lines) else ""
-            if nxt and not nxt.isdigit() and not heading.match(nxt):
-                title += " - " + nxt
-        elif not line.isdigit():
-            body += raw + " "
-    if body.strip():
-        out.append((title, body))
-    return out
-
-
-def test_chapters_equal_definition(spark):
+CHAPTERS = [
+    # A text before any heading is the introduction; a title line right below a heading belongs to its title and to its body.
+    ("opening words\nChapter I\nThe Beginning\nit began", [("Introduction", "opening words"), ("Chapter I - The Beginning", "The Beginning it began")]),
+    # Of two headings in a row the upper has no body and goes.
+    ("PART 2 Now\nBOOK II\nsome words", [("BOOK II - some words", "some words")]),
+    # Lines of digits are page numbers: no body, and no title.
+    ("ALL CAPS\n12\nthe body\n7", [("ALL CAPS", "the body")]),
+    # An empty line below a heading leaves its title alone.
+    ("Chapter 3 of it\n\nfirst\n  second line ", [("Chapter 3 of it", "first second line")]),
+    # 'Chapter' alone and one capital alone are no headings.
+    ("Chapter\nA\nend", [("Introduction", "Chapter A end")]),
+    ("BOOK I\nwords\nBOOK II", [("BOOK I - words", "words")]),
+    ("  THE SEA  \nbelow", [("THE SEA - below", "below")]),
+    ("", []), ("\n\n", []), ("PART 1\n4", []), ("just text", [("Introduction", "just text")]),
+]
+
+
+def test_chapters(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CHAPTERS)], "i int, t string")
+    got: dict = {}
+    for r in C.chapter_chunks(docs, "i", "t", 50, 2).orderBy("i", "chunk_no").collect():
+        got.setdefault(r["i"], []).append((r["title"], r["chunk"]))
+    for i, (text, want) in enumerate(CHAPTERS):
+        assert got.get(i, []) == want, text
+
+
+def test_chapter_properties(spark):
     random.seed(3)
     pool = ["Chapter I", "The Beginning", "PART 2 Now", "BOOK II", "ALL CAPS", "12", "", "some words here", "  indented line ", "Chapter", "A"]
     docs = [(i, "\n".join(random.choices(pool, k=random.randrange(1, 15)))) for i in range(120)]
-    got: dict = {}
-    for r in C.chapter_chunks(spark.createDataFrame(docs, "i int, t string"), "i", "t", 6, 2).collect():
-        got.setdefault(r["i"], {})[r["chunk_no"]] = (r["title"], r["chunk"])
+    got: dict = {i: [] for i, _ in docs}
+    for r in C.chapter_chunks(spark.createDataFrame(docs, "i int, t string"), "i", "t", 1000, 0).orderBy("i", "chunk_no").collect():
+        got[r["i"]].append((r["title"], r["chunk"]))
+    headings = {"Chapter I", "PART 2 Now", "BOOK II", "ALL CAPS"}
     for i, t in docs:
-        want = [(title, chunk) for title, body in brute_chapters(t) for chunk in windows(body.split(), 6, 2)]
-        assert [got.get(i, {}).get(k) for k in range(len(want))] == want
+        # All body lines come out once and in order; every title is a heading of the text, or the introduction.
+        body = " ".join(x for x in t.split("\n") if x.strip() not in headings | {"12"})
+        assert " ".join(c for _, c in got[i]).split() == body.split()
+        assert all(title == "Introduction" or title.split(" - ")[0] in headings & set(t.split("\n")) for title, _ in got[i])
 
 
 def test_pages(spark):
@@ -223,12 +231,104 @@ def test_ids_without_one_task(spark):
     assert [r["idx"] for r in got] == list(range(200)) and [(r["a"], r["b"]) for r in got] == sorted((i % 7, i) for i in range(200))
 
 
+def test_ids_are_dense_and_repeatable_at_size(spark, tmp_path):
+    n = 400_000
+    df = spark.range(n).select(F.xxhash64("id").alias("key"), (F.col("id") % 3).alias("third"), F.sha2(F.col("id").cast("string"), 512).alias("payload"), F.create_map(F.lit("k"), F.col("id")).alias("m"))
+    seen = []
+    for k in range(2):
+        path = str(tmp_path / f"ids{k}")
+        ingest.with_ids(df, ["third"]).write.parquet(path)  # a third of all rows has one key
+        got = spark.read.parquet(path)
+        assert got.agg(F.count("*"), F.count_distinct("idx"), F.min("idx"), F.max("idx")).first()[:] == (n, n, 0, n - 1)
+        seen.append(got.agg(F.sum(F.xxhash64("idx", "key").cast("decimal(38,0)"))).first()[0])
+    assert seen[0] == seen[1]
+
+
+def test_merged_pages(spark):
+    one = spark.createDataFrame([(2, "b"), (1, "a")], "page_number int, text string")
+    two = spark.createDataFrame([(1, "c"), (5, "d")], "page_number int, text string")
+    got = C.merge_pages(one, two).orderBy("page_number").collect()
+    assert [(r["page_number"], r["text"]) for r in got] == [(1, "a"), (2, "b"), (3, "c"), (4, "d")]
+    assert C.merge_pages(one.filter("page_number > 9")).collect() == []
+
+
+def test_broken_files_are_counted_and_logged(spark, tmp_path):
+    def extract(content):
+        yield 1, content.decode("utf-8"), []
+        if b"broken" in content:
+            raise RuntimeError("no second page")
+
+    files = spark.createDataFrame([("a", b"broken"), ("b", b"fine"), ("c", b"\xff"), ("d", None)], "path string, content binary")
+    failed = spark.sparkContext.accumulator(0)
+    got = readers.pages(files, extract, failed).collect()
+    assert sorted((r["path"], r["text"]) for r in got) == [("a", "broken"), ("b", "fine")] and failed.value == 3
+
+
+def test_written_texts_books_and_page_maps(spark, tmp_path):
+    """K3, K4, K5, Q16, Q17."""
+    pages = spark.createDataFrame([("/in/lib/x/a.pdf", 2, "two\ufb01", ["H"]), ("/in/lib/x/a.pdf", 1, "one", None), ("/in/lib/y/a.pdf", 1, "", [])], "path string, page_number int, text string, headings array<string>")
+    texts = ingest.page_texts(pages, "/in/lib")
+    assert sorted((r["file"], r["page_number"], r["text"]) for r in texts.collect()) == [("x/a.pdf", 1, "one"), ("x/a.pdf", 2, "twofi"), ("y/a.pdf", 1, "")]
+    sinks.write_page_maps(texts, str(tmp_path / "maps"))
+    assert {r["file"]: r["pages"].asDict() for r in spark.read.json(str(tmp_path / "maps")).collect()}["x/a.pdf"] == {"1": "one", "2": "twofi"}
+    whole = C.concat_pages(texts, "file", separator="\n")
+    sinks.write_texts(whole, str(tmp_path / "texts"))
+    back = spark.read.format("text").option("wholetext", True).load(str(tmp_path / "texts")).collect()
+    assert {r["file"]: r["value"].strip() for r in back} == {"x/a.pdf": "one\ntwofi"}  # an empty text is left out
+    books = D.books_from_files(pages.select("path"), folders={"x": ("G", "about x")})
+    sinks.write_books(books, str(tmp_path / "books"))
+    assert {(r["pdf_filename"], r["group"], r["description"], r["priority"]) for r in spark.read.json(str(tmp_path / "books")).collect()} == {("a.pdf", "CWSA", "", 99)}  # the last path wins
+    vectors = ingest.vectors_from_texts(spark.createDataFrame([("b.txt", "some words"), ("a.txt", ""), ("c.txt", None)], "path string, text string")).orderBy("idx").collect()
+    assert [(r["idx"], r["file_path"]) for r in vectors] == [(0, "a.txt"), (1, "b.txt"), (2, "c.txt")]
+    assert set(vectors[0]["embedding"]) == {0.0} and sum(x * x for x in vectors[1]["embedding"]) == pytest.approx(1) and vectors[2]["embedding"] is None
+
+
+def test_response_envelope(chunks, vectors):
+    import json
+
+    got = api.get_response(chunks, vectors, {"query": "ancient river", "top_k": "3"}, [1.0, 0.0]).collect()
+    assert len(got) == 1
+    rows = json.loads(got[0]["json"])["results"]
+    assert len(rows) == 3 and [r["category_priority"] for r in rows] == sorted(r["category_priority"] for r in rows) and "idx" not in rows[0]
+    assert json.loads(api.get_response(chunks, vectors, {"query": "nowhere", "search_type": "exact"}).first()["json"]) == {"results": []}
+
+
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+@pytest.mark.parametrize("sent", [True, False])
+def test_many_queries_equal_brute_force(spark, metric, sent, monkeypatch):
+    random = np.random.default_rng(4)
+    v = random.integers(-3, 4, (300, 4)).astype(float)  # small whole numbers make many ties
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (901, [1.0]), (None, [1.0] * 4), (902, [float("nan")] * 4)]
+    stored = spark.createDataFrame(rows, "idx bigint, embedding array<double>")
+    asked = stored.filter("idx < 20 OR idx > 899").selectExpr("idx AS query_id", "embedding AS query_vector")
+    if not sent:
+        monkeypatch.setattr(V, "QUERY_BYTES", 0)
+        monkeypatch.setattr(V, "BLOCK", 50)
+    got = sorted((r["query_id"], r["rank"], r["idx"], r["score"]) for r in V.knn_many(stored, asked, 7, metric).collect())
+    want = []
+    for q in range(20):
+        score = v @ v[q] if metric == "ip" else ((v - v[q]) ** 2).sum(axis=1)
+        order = sorted(range(300), key=lambda i: (score[i] if metric == "l2" else -score[i], i))[:7]
+        want += [(q, rank, i, float(score[i])) for rank, i in enumerate(order, 1)]
+    assert got == want
+    with pytest.raises(ValueError):
+        V.knn_many(stored, asked, 0)
+
+
+def test_first_vector(vectors):
+    assert V.first_vector(vectors.filter("idx > 50").unionByName(vectors.filter("idx = 3").withColumn("idx", F.lit(5000).cast("bigint")))) == pytest.approx([math.cos(1), math.sin(1)])
+    with pytest.raises(ValueError):
+        V.first_vector(vectors.filter("idx > 50"))
+    with pytest.raises(ValueError):
+        V.array_literal([float("nan")])
+
+
 def test_streaming(spark, tmp_path):
     from leafmill.streaming import requests as RS
 
     rows = spark.sql("SELECT CAST(id % 3 AS BIGINT) AS request_id, 'q' AS query, 1 AS top_k, 'all' AS search_type, '' AS author, '' AS `group`, '' AS book_title, timestamp_ntz'2024-03-01 00:10:00' AS requested_at, timestamp_ntz'2024-03-01 00:10:00' AS received_at FROM range(6)")
-    rows.write.parquet(str(tmp_path / "requests.parquet"))
-    got = RS.run_once(RS.hourly_counts(RS.request_stream(spark, str(tmp_path), "*.parquet")), "hourly_test", "complete", str(tmp_path / "cp")).collect()
+    rows.write.parquet(str(tmp_path / "in" / "requests.parquet"))
+    got = RS.run_once(RS.hourly_counts(RS.request_stream(spark, str(tmp_path / "in"), "*.parquet")), str(tmp_path / "hourly"), "complete", str(tmp_path / "cp")).collect()
     assert [(r["search_type"], r["n"]) for r in got] == [("all", 3)]
-    RS.append_chunks(RS.request_stream(spark, str(tmp_path), "*.parquet"), str(tmp_path / "out"), str(tmp_path / "cp2")).awaitTermination()
+    RS.append_chunks(RS.request_stream(spark, str(tmp_path / "in"), "*.parquet"), str(tmp_path / "out"), str(tmp_path / "cp2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 6

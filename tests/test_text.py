@@ -98,3 +98,14 @@ def test_other_snippets(spark):
     df = spark.createDataFrame([("the river\nruns",), (None,)], "t string")
     assert [r[0] for r in df.select(TX.snippet(F.col("t"), "river")).collect()] == ["the <mark>river</mark><br>runs", None]
     assert isinstance(pd.Series([1]), pd.Series)
+
+
+def test_built_in_and_python_forms_agree(spark):
+    """T20 and T22 in the JVM give what the definitions give, whatever the text."""
+    rows = ["", "of the", "OF  the\tend", "rooftop of them", "of\nthe", "of the—of the", "x of the’s", "of_the of the_", "ﬁne of the", "ｏｆ ｔｈｅ", "a < b of the", "of the é of thé", "of the" + "\u0301", "of\xa0the",
+            "\n".join(f"line {i} of the day" if i in (7, 30) else f"line {i}" for i in range(50)), "\n".join("words" for _ in range(40)), "head\n\n\nof the", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
+    for query in ("of the", "“of", "line 7", "the", "(", "é"):
+        got = {r["i"]: (r["h"], r["s"]) for r in df.select("i", TX.highlighted(F.col("t"), query).alias("h"), TX.snippet(F.col("t"), query).alias("s")).collect()}
+        for i, t in enumerate(rows):
+            assert got[i] == ((None, None) if t is None else (TX.highlight(t, query), TX.snippet_lines(t, query))), (query, t)

@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 #: Letters of other scripts that have the shape of a Latin letter.
@@ -38,11 +39,6 @@ BLANKS = [chr(c) for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F)
 INVISIBLE = [chr(c) for c in (0xAD, 0x34F, 0x180E, 0x200B, 0x200E, 0x200F, *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x206A), 0xFEFF)]
 JOINERS = "‌‍"
 PRESENTATION = [range(0xFB00, 0xFB50), range(0xFB50, 0xFE00), range(0xFE70, 0xFEFF), range(0xFF00, 0xFFF0), range(0x1D400, 0x1D800)]
-#: Only values with a match are handed to Python; every pattern of the automaton holds a character of this class or joins two scripts.
-SUSPECT = (
-    r"[\x{A0}\x{AD}\x{300}-\x{36F}\x{1680}\x{180E}\x{2000}-\x{200F}\x{202A}-\x{202F}\x{205F}-\x{206F}\x{212A}\x{212B}\x{1F71}-\x{1F7D}\x{F900}-\x{FAFF}\x{FB00}-\x{FDFF}\x{FE70}-\x{FEFF}\x{FF10}-\x{FFDF}\x{1D400}-\x{1D7FF}]"
-    r"|\p{IsLatin}[\p{IsGreek}\p{IsCyrillic}\p{IsArmenian}]|[\p{IsGreek}\p{IsCyrillic}\p{IsArmenian}]\p{IsLatin}|\p{IsGreek}[\p{IsCyrillic}\p{IsArmenian}]|\p{IsCyrillic}[\p{IsGreek}\p{IsArmenian}]|\p{IsArmenian}[\p{IsGreek}\p{IsCyrillic}]"
-)
 
 
 @lru_cache(maxsize=None)
@@ -166,6 +162,20 @@ class Rewriter:
                         self.automaton.add_word(m, (m, "always", target))
         self.automaton.make_automaton()
 
+    def suspect(self) -> str:
+        """A pattern (RE2) that every text which the automaton changes has a match of, made from the automaton itself: a
+        character of every string that is always replaced, or two scripts in one word."""
+        single, whole = set(), set()
+        for key, (_, kind, _) in self.automaton.items():
+            if kind != "shape":
+                strange = [ch for ch in key if not ch.isascii()]
+                (single if strange else whole).add(strange[-1] if strange else key)
+        word = r"[\p{L}\p{M}\x{AD}\x{200B}-\x{200D}\x{2060}\x{FEFF}]*"
+        names = [s.capitalize() for s in SCRIPTS]
+        mixed = [rf"\p{{{s}}}{word}[{''.join(rf'\p{{{o}}}' for o in names if o != s)}]" for s in names]
+        chars = "[" + "".join(f"\\x{{{ord(ch):X}}}" for ch in sorted(single)) + "]"
+        return "|".join([chars, *mixed, *("\\x{" + "}\\x{".join(f"{ord(ch):X}" for ch in key) + "}" for key in sorted(whole))])
+
     @staticmethod
     def _needed(text: str, at: int) -> bool:
         """Whether the joiner at ``at`` belongs to the spelling."""
@@ -229,12 +239,24 @@ def unify(docs: DataFrame, text_cols: list[str], carry: list[str]) -> DataFrame:
     return chosen.mapInArrow(_rewrite(member_counts(docs, text_cols), len(carry), to_arrow_schema(chosen.schema)), chosen.schema)
 
 
+def _changed(rewriter_counts: dict[str, int], schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rewriter = Rewriter(rewriter_counts)
+        suspect = rewriter.suspect()
+        for batch in batches:
+            some = batch.filter(pc.match_substring_regex(batch.column(2), suspect))
+            changed = [rewriter(value) != value for value in some.column(2).to_pylist()]
+            yield some.filter(pa.array(changed, pa.bool_())).select([0, 1]).cast(schema)
+
+    return run
+
+
 def changed_values(docs: DataFrame, text_cols: list[str], id_col: str) -> DataFrame:
-    """(id_col, field): the values that ``unify`` changes. Values without a suspect character never leave the JVM."""
-    rows = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in text_cols)))
-    values = docs.select(F.col(id_col), rows.alias("v")).select(id_col, "v.field", "v.value").filter(F.col("value").rlike(SUSPECT))
-    values = values.withColumn("form", F.col("value"))
+    """(id_col, field): the values that ``unify`` changes. ASCII values never leave the JVM, and only those that match the
+    automaton's own ``suspect`` pattern are rewritten."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    rewritten = values.mapInArrow(_rewrite(member_counts(docs, text_cols), 3, to_arrow_schema(values.schema)), values.schema)
-    return rewritten.filter("form <> value").select(id_col, "field").distinct()
+    rows = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in text_cols)))
+    values = docs.select(F.col(id_col), rows.alias("v")).select(id_col, "v.field", "v.value").filter(F.octet_length("value") > F.length("value"))
+    out = values.select(id_col, "field")
+    return values.mapInArrow(_changed(member_counts(docs, text_cols), to_arrow_schema(out.schema)), out.schema).distinct()

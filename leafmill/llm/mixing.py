@@ -9,12 +9,13 @@ a prefix in a seeded order, up to its budget.
 Without a given total the mix is as large as it can be with every share reached exactly.
 
 Defined results: sources without tokens get nothing, and their weight goes to the others; null and empty texts have no
-tokens and follow their leaf's epochs; rows of no target source are left out; repeated rows are documents of their own;
+tokens and come as often as their leaf has whole epochs, so never more often than allowed; rows of no target source are left out; repeated rows are documents of their own;
 ties of the seeded order go to the lower id; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -105,22 +106,47 @@ def mix(sized: DataFrame, targets: DataFrame, *, total: float | None = None, see
     stats = {tuple(r[c] for c in path): float(r["n"]) for r in sized.groupBy(*path).agg(F.sum("n_tokens").alias("n")).collect()}
     budgets = plan(list(stats.items()), rules, total)
     spark = sized.sparkSession
-    shares = [(*p, int(b / stats[p] + 1e-9), b - int(b / stats[p] + 1e-9) * stats[p]) for p, b in budgets.items() if stats[p] > 0]
+    shares = []
+    for p, b in budgets.items():
+        if stats[p] > 0:
+            epochs = min(int(b / stats[p] + 1e-9), rules[p[-1]][1])
+            shares.append((*p, epochs, max(0.0, b - epochs * stats[p]) if epochs < rules[p[-1]][1] else 0.0))
     leaf = spark.createDataFrame(shares, "domain string, language string, source string, epochs int, rest double")
     place = F.xxhash64(F.col("id"), F.col("source"), F.lit(seed), F.col("epochs"))
+    # One row a leaf, of which there are as many as sources times languages.
     rows = sized.join(F.broadcast(leaf), list(path)).withColumn("place", place).withColumn("bucket", F.shiftrightunsigned("place", 52).cast("int"))
     sums = rows.groupBy(*path, "bucket").agg(F.sum("n_tokens").alias("n"))
     before = Window.partitionBy(*path).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).select(*path, "bucket", "start")
     within = Window.partitionBy(*path, "bucket").orderBy("place", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.join(starts, [*path, "bucket"]).withColumn("end", F.col("start") + F.sum("n_tokens").over(within))
-    placed = placed.withColumn("inside", F.col("end") <= F.col("rest")).withColumn("astride", ~F.col("inside") & (F.col("end") - F.col("n_tokens") < F.col("rest")))
+    # A document without tokens fills no budget: it comes with the whole epochs only.
+    placed = placed.withColumn("inside", (F.col("n_tokens") > 0) & (F.col("end") <= F.col("rest"))).withColumn("astride", (F.col("n_tokens") > 0) & ~F.col("inside") & (F.col("end") - F.col("n_tokens") < F.col("rest")))
+    placed = materialize(placed.select("id", *path, "n_tokens", "epochs", "end", "inside", "astride"), "mix-places")
     taken = spark.createDataFrame(_astride(placed, shares, path), "domain string, language string, source string, end bigint, more int")
     placed = placed.join(F.broadcast(taken), [*path, "end"], "left")
     copies = F.col("epochs") + F.when(F.col("inside") | (F.col("astride") & F.col("more").isNotNull()), 1).otherwise(0)
     return placed.select("id", "source", "language", "n_tokens", copies.cast("int").alias("copies")).filter("copies > 0")
 
 
+def nearest_subset(sizes: list[int], wanted: float) -> list[int]:
+    """The places of sizes whose sum is nearest to ``wanted``, the lesser of two sums as near: bit k of a number says whether
+    the sizes so far can make k, so that every subset is weighed, however many there are."""
+    reach = [1]
+    for size in sizes:
+        reach.append(reach[-1] | reach[-1] << size)
+    bits, low = reach[-1], max(0, math.floor(wanted))
+    below = (bits & ((1 << (low + 1)) - 1)).bit_length() - 1
+    above = bits >> (low + 1)
+    best = below if not above or wanted - below <= low + (above & -above).bit_length() - wanted else low + (above & -above).bit_length()
+    chosen = []
+    for k in range(len(sizes) - 1, -1, -1):
+        if not reach[k] >> best & 1:
+            chosen.append(k)
+            best -= sizes[k]
+    return chosen[::-1]
+
+
 def _astride(placed: DataFrame, shares: list[tuple], path: tuple[str, ...]) -> list[tuple]:
     """Of the documents that stand astride their leaf's budget, at most one a leaf, those that bring each source nearest to its own."""
     inside = {r["source"]: r["n"] for r in placed.filter("inside").groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
@@ -133,24 +159,14 @@ def _astride(placed: DataFrame, shares: list[tuple], path: tuple[str, ...]) -> l
     chosen = []
     for source, rows in by_source.items():
         rows.sort(key=lambda r: (-r["n_tokens"], *(r[c] for c in path)))
-        missing = rest[source] - inside.get(source, 0)
-        # The largest first while there are many, then the best of all subsets.
-        while len(rows) > 16:
-            r = rows.pop(0)
-            if abs(missing - r["n_tokens"]) < abs(missing):
-                missing -= r["n_tokens"]
-                chosen.append(r)
-        best = min(range(2 ** len(rows)), key=lambda m: abs(missing - sum(r["n_tokens"] for k, r in enumerate(rows) if m >> k & 1)))
-        chosen += [r for k, r in enumerate(rows) if best >> k & 1]
-    chosen = [(*(r[c] for c in path), r["end"], 1) for r in chosen]
-    return chosen
+        chosen += [rows[k] for k in nearest_subset([r["n_tokens"] for r in rows], rest[source] - inside.get(source, 0))]
+    return [(*(r[c] for c in path), r["end"], 1) for r in chosen]
 
 
 def reached(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, tokens, reached_share, n_documents, most_copies) for every target source."""
     used = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("n_documents"), F.max("copies").alias("most_copies"))
-    table = targets.join(used, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
-    whole = F.sum("tokens").over(Window.partitionBy())  # over the targets only, a handful of rows
-    return table.withColumn("whole", whole).select(
-        "source", "target_share", "tokens", F.when(F.col("whole") > 0, F.col("tokens") / F.col("whole")).otherwise(0.0).alias("reached_share"), F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("most_copies", F.lit(0)).alias("most_copies")
-    )
+    rows = targets.join(used, "source", "left").select("source", "target_share", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "n_documents", "most_copies")))
+    # One row a target, put side by side to have their sum.
+    whole = rows.agg(F.sum("tokens").alias("whole"), F.collect_list(F.struct(*rows.columns)).alias("rows")).select("whole", F.explode("rows").alias("r"))
+    return whole.select("r.source", "r.target_share", "r.tokens", F.when(F.col("whole") > 0, F.col("r.tokens") / F.col("whole")).otherwise(0.0).alias("reached_share"), "r.n_documents", "r.most_copies")

@@ -45,7 +45,7 @@ CELLS = 1 << 20
 CHUNKS = 64
 FILTER = 1 << 23
 #: Estimated texts of a shingle above which it is split over blocks of texts.
-HOT = 200_000
+HOT = 20_000
 BUCKET_ROWS = 2_000_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -333,7 +333,7 @@ def class_links(docs: DataFrame, id_col: str, text_col: str, *, threshold: float
     per_text = int(counts.sum(dtype=np.uint64)) * (1 - share)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(per_text / BUCKET_ROWS))
     met = texts.select("id", "text").mapInArrow(_emit(search, min_words, counts, share, shared, buckets), "bucket int, rows binary")
-    met = met.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(share, shared), "a bigint, b bigint, need int, met int")
+    met = met.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(share, shared), "a bigint, b bigint, need int, met int")
     candidates = materialize(met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("need").alias("need")).filter("met >= need").select("a", "b"), "shingle-candidates")
     holders = members.join(candidates.select(F.col("a").alias("class")).union(candidates.select(F.col("b").alias("class"))).distinct(), "class", "left_semi").groupBy("class").agg(F.min("id").alias("id"))
     holders = materialize(holders, "shingle-holders")

@@ -28,10 +28,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """The boilerplate blocks of each title: their number of lines and their support."""
-    lines = boilerplate.lines_of(table(spark, d, "metadata"), "idx", "book_title", "snippet")
-    blocks = boilerplate.boilerplate_blocks(lines)
-    return blocks.groupBy("source", "block").agg(F.count("*").alias("n_lines"), F.max("support").alias("support")).select(F.col("source").alias("book_title"), "block", "n_lines", "support")
+    """The boilerplate blocks of each title: the occurrences of their lines and their support."""
+    return boilerplate.boilerplate_blocks(table(spark, d, "metadata"), "idx", "book_title", "snippet")
 
 
 def p2_clean(spark: SparkSession, d: str) -> DataFrame:

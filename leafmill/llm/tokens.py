@@ -153,11 +153,6 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return _encoded(docs, id_col, text_col, ranks, block_chars, True).select(F.col("__id").alias(id_col), F.col("__value").alias("n_tokens"))
 
 
-def token_bytes(docs: DataFrame, ranks: str = DEFAULT_RANKS) -> DataFrame:
-    """(token, bytes): the tokenizer's table, as large as its vocabulary and no larger."""
-    return docs.sparkSession.createDataFrame([(r, b) for b, r in _ranks(ranks).items()], "token int, bytes binary")
-
-
 @lru_cache(maxsize=2)
 def _bytes_by_id(path: str) -> pa.Array:
     """The token-byte table as an array: the bytes of id i at place i, and none at the last place, for ids it doesn't have."""

@@ -35,8 +35,6 @@ TERMINAL = r".!?。！？।॥؟։።፧။…‽"
 
 #: Blanks that may follow a text.
 BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200C))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
-#: Characters before the end that hold any shortened word; every other rule sees the whole text.
-TAIL = 400
 
 
 @lru_cache(maxsize=1)
@@ -77,7 +75,7 @@ def ending(text: str) -> str:
         quote_open = quote > text.rfind("”") and "„" not in text and text.count("“") > text.count("”") and not match["paragraph"](text, quote)
         paren = text.rfind("(")
         paren_open = paren > text.rfind(")") and not match["paragraph"](text, paren)
-        return "cut" if quote_open or paren_open or match["ellipsis"](text) or match["shortened"](text[-TAIL:]) else "ended"
+        return "cut" if quote_open or paren_open or match["ellipsis"](text) or match["shortened"](text) else "ended"
     if ended_before and (match["signature"](own) or (words >= 2 and lines and match["heading"](own))):
         return "open"
     return "cut"

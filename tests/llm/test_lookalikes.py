@@ -44,3 +44,27 @@ def test_classes_are_transitive():
 def test_empty(spark):
     assert L.changed_values(frame(spark).filter("idx = -1"), ["snippet"], "idx").collect() == []
     assert L.unify(frame(spark).filter("idx = -1"), ["snippet"], ["idx"]).collect() == []
+
+
+def test_the_filter_leaves_no_changed_value_out(spark):
+    """Every string that the automaton rewrites, alone and inside a word, is found; so is every value that unify changes."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rewriter = L.Rewriter({})
+    pattern = rewriter.suspect()
+    keys = sorted(key for key, _ in rewriter.automaton.items())
+    texts = [t for key in keys for t in (key, f"wo{key}rd", f"αβ{key}", f"да{key} x", f"{key}ա")]
+    hit = pc.match_substring_regex(pa.array(texts), pattern).to_pylist()
+    missed = [t for t, h in zip(texts, hit) if not h and rewriter(t) != t]
+    assert missed == []
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["\u1fbb", "\u1fc9 alone", "\u03f2", "\u03f9αβ", "plain", "α\u0301", "Å"])], "idx bigint, snippet string")
+    changed = {r["idx"] for r in rows.join(L.unify(rows, ["snippet"], ["idx"]).withColumnRenamed("snippet", "form"), "idx").filter("form <> snippet").collect()}
+    assert {r["idx"] for r in L.changed_values(rows, ["snippet"], "idx").collect()} == changed and len(changed) >= 4
+
+
+def test_the_filter_on_whole_tables(spark, data):
+    docs = spark.read.parquet(f"{data}/metadata.parquet").select("idx", "snippet")
+    form = L.unify(docs, ["snippet"], ["idx"]).withColumnRenamed("snippet", "form")
+    changed = {r["idx"] for r in docs.join(form, "idx").filter("form <> snippet").collect()}
+    assert {r["idx"] for r in L.changed_values(docs, ["snippet"], "idx").collect()} == changed

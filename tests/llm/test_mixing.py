@@ -1,4 +1,5 @@
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
 
 from leafmill.llm import mixing as M
 
@@ -58,3 +59,33 @@ def test_empty(spark, tables):
     sized = M.counted(docs.filter("doc_id < 0"), targets)
     assert M.mix(sized, targets).collect() == []
     assert {r["reached_share"] for r in M.reached(M.mix(sized, targets), targets).collect()} == {0.0}
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.sampled_from(["en", "fr", ""]), st.integers(0, 9)), max_size=40), st.integers(1, 3), st.integers(1, 3), st.one_of(st.none(), st.integers(0, 400)))
+def test_no_document_is_used_too_often(spark, rows, cap_a, cap_b, total):
+    """Documents without tokens included, which fill no budget."""
+    sized = spark.createDataFrame([(i, "all", lang, source, n) for i, (source, lang, n) in enumerate(rows)], "id bigint, domain string, language string, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("a", 0.7, cap_a), ("b", 0.3, cap_b)], "source string, target_share double, max_repeats int")
+    got = M.mix(sized, targets, total=total).collect()
+    assert len({r["id"] for r in got}) == len(got)
+    assert all(1 <= r["copies"] <= {"a": cap_a, "b": cap_b}[r["source"]] for r in got)
+
+
+def test_zero_tokens_at_the_front_keep_the_cap(spark):
+    sized = spark.createDataFrame([(i, "all", "en", "a", 0 if i < 50 else 7) for i in range(60)], "id bigint, domain string, language string, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")
+    assert {r["copies"] for r in M.mix(sized, targets).collect()} == {2}
+    assert {r["copies"] for r in M.mix(sized, targets, total=71).collect() if r["n_tokens"] == 0} == {1}
+
+
+@given(st.lists(st.integers(1, 40), max_size=9), st.floats(-5, 200))
+def test_nearest_subset_equals_brute_force(sizes, wanted):
+    got = sum(sizes[k] for k in M.nearest_subset(sizes, wanted))
+    sums = {sum(s for k, s in enumerate(sizes) if m >> k & 1) for m in range(2 ** len(sizes))}
+    assert abs(got - wanted) == min(abs(x - wanted) for x in sums)
+
+
+def test_nearest_subset_of_many():
+    sizes = [3] * 40 + [1000]
+    assert sum(sizes[k] for k in M.nearest_subset(sizes, 61)) == 60 and sum(sizes[k] for k in M.nearest_subset(sizes, 1002)) == 1003

@@ -11,12 +11,12 @@ CUT = ["It is do", "It is the", "It is the ", "It is the...", "It waits …", "M
 
 @pytest.mark.parametrize("text", ENDED)
 def test_ended(text):
-    assert C.ending(text.rstrip(C.BLANKS)[-C.TAIL :]) in ("ended", "open")
+    assert C.ending(text.rstrip(C.BLANKS)) in ("ended", "open")
 
 
 @pytest.mark.parametrize("text", CUT)
 def test_cut(text):
-    assert C.ending(text.rstrip(C.BLANKS)[-C.TAIL :]) == "cut"
+    assert C.ending(text.rstrip(C.BLANKS)) == "cut"
 
 
 FILL = "Ein Satz, der endet. " * 40
@@ -60,3 +60,14 @@ def test_spikes_and_report(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert C.truncated(docs).collect() == [] and C.truncation_report(docs).collect() == []
+
+
+@pytest.mark.parametrize("filler", [0, 50, 399, 400, 500, 20_000])
+def test_endings_do_not_depend_on_length(filler):
+    """The same end is judged alike however far back its quotation, bracket or paragraph begins."""
+    body = ("word " * (filler // 5)).strip()
+    assert C.ending(f"He said (and {body} then he went.") == "cut"
+    assert C.ending(f"He said (and {body}) then he went.") == "ended"
+    assert C.ending(f"He said “and {body} then he went.") == "cut"
+    assert C.ending(f"Er sagte „und {body} dann ging er.“") == "ended"
+    assert C.ending(f"It was {body} as in vol.") == "cut"

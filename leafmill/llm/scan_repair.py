@@ -1,15 +1,19 @@
 """Repair of text from scanned pages: divided words, misread characters, running headers and page numbers.
 
 Words are counted over the whole corpus. A word meets its candidates, which are far more frequent, in an inverted join
-of positional character q-grams; gradient-boosted trees, trained on words that were misread on purpose, score each
-candidate, and the best one above ``ACCEPT`` is the correction. Two classifiers of the same kind look at pairs of lines: a
-line and a title (is it furniture?), and the two sides of a line end (is the word divided, or a compound?), the latter by
-what the corpus says of the joined and of the hyphenated word. Both are trained on the corpus itself: titles spoiled on
-purpose against lines of text, frequent words divided on purpose against compounds.
-
-Defined results: null and empty texts have no noise and stay as they are; a null or empty chapter has no header; words of
-more than ``LONGEST`` characters are never corrected; the first and last word of a text may be halves and are corrected
-only for a character that no word has; ties between candidates go to the more frequent, then to the lesser word;
+of positional character q-grams. What recognition confuses is learned from the corpus: for every exchange of characters
+('c' for 'e', 'rn' for 'm') that would make a word of a candidate, the different words that show it are counted; chance
+shows few. Gradient-boosted trees see that count beside lengths, places and frequencies, are trained on words misread on
+purpose, and score each candidate; the best above ``ACCEPT`` is the correction. Two classifiers of the same kind look at
+pairs of lines: a line and a title (is it furniture?), and the two sides of a line end (is the word divided, or a compound?),
+the latter by what the corpus says of the joined and of the hyphenated word. Both are trained on the corpus itself: titles
+spoiled on purpose against lines of text, frequent words divided on purpose against compounds. What a page number looks
+like, and which line ends part paragraphs, are rules.
+
+Defined results: null and empty texts have no noise and stay as they are; a null or empty chapter has no header; a word of
+two letters alone is never corrected, as it cannot be told from another word, but one with a digit or sign is; the first
+and last word of a text may be halves and are corrected only for a character that no word has; look-alike letters of other
+scripts, accents and case are no misreadings; ties between candidates go to the more frequent, then to the lesser word;
 repeated rows are treated each for itself.
 """
 
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata as ud
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,16 +31,24 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..sources.scratch import materialize
 from .boosting import BoostedTrees
+from .lookalikes import script
 from .neardup import FILTER, _chunks, _histogram
 
-Q = 3
-LONGEST = 40
+#: Lengths of the q-grams; the short ones are for words of up to ``SHORT`` characters, whose long ones one misreading may all spoil.
+Q, Q_SHORT, SHORT = 3, 2, 5
+#: Q-grams that two misread places can spoil, and one more: so many of its rarest a candidate is known by.
+RARE_GRAMS = 2 * (Q + 1) + 1
 #: A correction is at least so frequent, and so many times as frequent as the word it replaces.
 MIN_FREQUENT = 12
 RATIO = 15
 ACCEPT = 0.5
 #: Words that the trees are trained on, at most: the bound of the one sample that is taken.
 TRAIN_WORDS = 3_000
+#: Different words that show an exchange of characters before it is taught as a misreading, each with ``KEPT`` characters
+#: that agree; fewer can be chance. The fixed list below counts as so many words, for a corpus too small to show its own.
+SEEN, KEPT = 6, 4
+#: Exchanges that training takes misreadings from, the commonest first.
+TRAIN_EXCHANGES = 1_000
 #: What recognition takes letters for. Left what was printed, right what comes out.
 CONFUSIONS = (
     ("e", "c"), ("c", "e"), ("s", "5"), ("l", "1"), ("l", "I"), ("i", "1"), ("i", "l"), ("i", "!"), ("l", "!"), ("a", "@"), ("o", "0"), ("g", "9"), ("q", "9"), ("b", "6"), ("b", "8"), ("z", "2"), ("t", "7"), ("l", "|"), ("i", "|"), ("s", "$"),
@@ -77,10 +90,6 @@ def _regexes():
     }
 
 
-#: Misreadings that the furniture classifier is trained on: each changes the length by one at most, and three pairs of letters.
-SPOILED = 3
-
-
 @lru_cache(maxsize=10_000)
 def _parts(title: str) -> tuple[str, str, frozenset[str]]:
     """A title in small letters, its letters and digits alone, and their pairs."""
@@ -96,40 +105,83 @@ def _letters(line: str) -> tuple[str, str]:
     return folded, "".join(filter(str.isalnum, folded))
 
 
-def line_features(line: str, title: str, always: bool = False) -> tuple[float, ...] | None:
-    """What the furniture classifier sees of a line and a title; None where they have too little in common to be asked, unless
-    ``always``. A title with ``SPOILED`` misreadings is asked about at any length, and so is a line of 0.6 to 1.67 times its
-    length that shares 0.4 of its pairs."""
+def line_features(line: str, title: str) -> tuple[float, ...]:
+    """What the furniture classifier sees of a line and a title: how alike their letters are in order, their lengths, and the
+    share of the line's letter pairs that the title has."""
+    import difflib
+
     raw, a = _letters(line)
     folded, b, grams = _parts(title)
-    if raw == folded:
-        return (1.0, 1.0, 1.0)
-    if not b or not always and abs(len(a) - len(b)) > SPOILED and not 0.6 <= len(a) / len(b) <= 1.67:
-        return None
-    if a == b:
+    if raw == folded or a == b and b:
         return (1.0, 1.0, 1.0)
-    kept = len([i for i in range(len(a) - 1) if a[i : i + 2] in grams])
-    shared = kept / max(1, len(a) - 1)
-    if not always and shared < 0.4 and len(a) - 1 - kept > 3 * SPOILED:
-        return None
-    import difflib
+    return (round(difflib.SequenceMatcher(None, a, b, False).ratio(), 2), _longer(a, b), _shared(a, grams))
+
+
+@lru_cache(maxsize=10_000)
+def _places(text: str) -> dict[str, int]:
+    """For each character, the places where it stands, as bits."""
+    found: dict[str, int] = {}
+    for k, ch in enumerate(text):
+        found[ch] = found.get(ch, 0) | 1 << k
+    return found
+
+
+def _in_order(a: str, b: str) -> int:
+    """The length of the longest common subsequence, all places of ``b`` at once in the bits of one number."""
+    places, whole = _places(b), (1 << len(b)) - 1
+    left, get = whole, places.get
+    for ch in a:
+        hit = left & get(ch, 0)
+        if hit:
+            left = (left + hit | left - hit) & whole
+    return len(b) - left.bit_count()
+
+
+def _longer(a: str, b: str) -> float:
+    return round(min(len(a) / max(1, len(b)), 5.0), 1)
+
 
-    return (round(difflib.SequenceMatcher(None, a, b, False).ratio(), 2), round(len(a) / len(b), 1), round(shared, 1))
+def _shared(a: str, grams: frozenset[str]) -> float:
+    return round(len([i for i in range(len(a) - 1) if a[i : i + 2] in grams]) / max(1, len(a) - 1), 1)
 
 
 class Alike:
-    """Whether a line repeats a title, exactly or with a few other characters: boosted trees, asked once for each set of features."""
+    """Whether a line repeats a title, exactly or with a few other characters: boosted trees, asked once for each set of features.
+
+    Likeness is dear to compute and is bounded by what is cheap: by the lengths, and by the longest common subsequence, of which
+    matching blocks are a part. For every length and share of pairs the classifier itself is asked for the least likeness that
+    it accepts; where a bound lies below that, the answer is no, and computing the likeness could not change it.
+    """
 
     def __init__(self, model: BoostedTrees) -> None:
-        self.model, self.known = model, {}
+        self.model, self.least, self.accepted = model, {}, {}
+        # Fixed to the rounding of line_features: every set of features there is.
+        ratios = np.arange(101) / 100
+        for longer in range(51):
+            for shared in range(11):
+                grid = np.column_stack([ratios, np.full(101, longer / 10), np.full(101, shared / 10)])
+                yes = model.predict(grid) >= ACCEPT
+                self.accepted[longer, shared] = yes
+                self.least[longer, shared] = float(ratios[yes.argmax()]) if yes.any() else 2.0
+        self.by_length = {longer: min(self.least[longer, k] for k in range(11)) for longer in range(51)}
 
     def __call__(self, line: str, title: str) -> bool:
-        seen = line_features(line, title)
-        if seen is None:
+        raw, a = _letters(line)
+        folded, b, grams = _parts(title)
+        if raw == folded or a == b and b:
+            return True
+        if not b or not a:
+            return False
+        longer = round(10 * _longer(a, b))
+        bound, whole = self.by_length[longer] - 0.006, len(a) + len(b)
+        if 2 * min(len(a), len(b)) < bound * whole or 2 * _in_order(a, b) < bound * whole:
+            return False
+        shared = round(10 * _shared(a, grams))
+        if self.least[longer, shared] > 1:
             return False
-        if seen not in self.known:
-            self.known[seen] = bool(self.model.predict(np.array([seen]))[0] >= ACCEPT)
-        return self.known[seen]
+        import difflib
+
+        return bool(self.accepted[longer, shared][round(100 * round(difflib.SequenceMatcher(None, a, b, False).ratio(), 2))])
 
 
 def train_furniture(titles: list[str], lines: list[str], seed: int = 12) -> Alike:
@@ -140,7 +192,7 @@ def train_furniture(titles: list[str], lines: list[str], seed: int = 12) -> Alik
     rows, labels = [(1.0, 1.0, 1.0)], [1.0]
     for t in titles * math.ceil(100 / len(titles)):
         mixed = " ".join(words[random.integers(len(words))] for _ in t.split())
-        rows.append(line_features(mixed, t, True))
+        rows.append(line_features(mixed, t))
         labels.append(float(rows[-1][0] == 1.0))
         for spoiled in (1, 2, 3):
             text = t
@@ -148,11 +200,11 @@ def train_furniture(titles: list[str], lines: list[str], seed: int = 12) -> Alik
                 right, wrong = CONFUSIONS[random.integers(len(CONFUSIONS))]
                 k = int(random.integers(len(text)))
                 text = text.replace(right, wrong, 1) if random.random() < 0.7 else text[:k] + text[k + 1 :]
-            rows.append(line_features(text, t, True))
+            rows.append(line_features(text, t))
             labels.append(1.0)
         for other in (titles[random.integers(len(titles))], *(lines[random.integers(len(lines))] for _ in range(min(3, len(lines))))):
             if other.casefold() != t.casefold():
-                rows.append(line_features(other, t, True))
+                rows.append(line_features(other, t))
                 labels.append(0.0)
     return Alike(BoostedTrees(rounds=30).fit(np.array(rows), np.array(labels)))
 
@@ -214,10 +266,10 @@ def furniture(line: str, titles: list[str], alike) -> tuple[bool, bool]:
     if not stripped:
         return False, False
     match = _regexes()
-    if len(stripped) <= 24 and match["number"].match(stripped):
+    if match["number"].match(stripped):
         return False, True
     longest = max(map(len, titles), default=0)
-    if not longest or len(stripped) > 2 * longest + 24:
+    if not longest:
         return False, False
     ends = stripped.split(None, 1)[0].strip(EDGE + "~|-"), stripped.rsplit(None, 1)[-1].strip(EDGE + "~|-")
     numbered = match["digit"].search(stripped) is not None or any(e and not e.strip("ivxlc") for e in ends)
@@ -243,10 +295,8 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted: dict[str, int] = {}
         for entry in tokens.value_counts().to_pylist():
             token, n = entry["values"], entry["counts"]
-            if len(token) > 2 * LONGEST:
-                continue
             word = form(bare(token))
-            if word and len(word) <= LONGEST:
+            if word:
                 counted[word] = counted.get(word, 0) + n
                 if "-" in word:
                     for part in word.split("-"):
@@ -272,77 +322,136 @@ def _difference(word: str, candidate: str) -> tuple[str, str, int]:
     return word[p : len(word) - q], candidate[p : len(candidate) - q], p
 
 
-def features(word: str, n: int, candidate: str, m: int) -> list[float]:
-    """What the trees see of a word and a candidate."""
-    read, printed, at = _difference(word, candidate)
-    known = 0.0
-    for right, wrong in CONFUSIONS:
-        for k in range(max(0, at - 1), at + 2):
-            if word[k : k + len(wrong)] == wrong and word[:k] + right + word[k + len(wrong) :] == candidate:
-                known = 1.0
-    twice = 0.0
-    if not known and 2 <= len(read) <= 12:  # the same character misread twice
-        twice = float(any(word.replace(wrong, right) == candidate for right, wrong in CONFUSIONS if len(wrong) == 1 and wrong in word))
+def _plain_word(word: str) -> bool:
+    """Whether a word is of letters, digits and signs that stand for themselves; others are look-alikes, not misreadings."""
+    return word.isascii() or ud.normalize("NFKC", word) == word and not any(ud.category(ch)[0] in "CZ" for ch in word)
+
+
+def exchange(word: str, candidate: str) -> tuple[str, str, bool] | None:
+    """(read, printed, twice): the exchange of characters that would make a misread word of a candidate, if there is one: one
+    or two characters for one or two letters of the candidate's own script, once, or one character for another wherever it
+    stands. None for another word, another spelling (case, accents) or a look-alike letter of another script."""
+    if not _plain_word(word) or not _plain_word(candidate):
+        return None
+    read, printed, _ = _difference(word, candidate)
+    places = {(x, y) for x, y in zip(read, printed) if x != y} if len(read) == len(printed) > 1 else set()
+    if twice := len(places) == 1:
+        read, printed = places.pop()
+    if not read or not printed or max(len(read), len(printed)) > 2:
+        return None
+    fold = lambda x: ud.normalize("NFD", x.casefold())[:1]
+    if len(read) == len(printed) and all(fold(x) == fold(y) for x, y in zip(read, printed)):
+        return None
+    scripts = {script(ch) for ch in candidate if ch.isalpha()}
+    if len(scripts) != 1 or any(script(ch) not in scripts for ch in word if ch.isalpha()) or not any(map(str.isalpha, word)):
+        return None
+    return read, printed, twice
+
+
+def features(word: str, n: int, candidate: str, m: int, read: str, printed: str, twice: bool, seen: float) -> list[float]:
+    """What the trees see of a word, a candidate, and the exchange between them; ``seen`` is how many words of the corpus show
+    the same exchange."""
+    _, _, at = _difference(word, candidate)
     strange = float(any(c in _SYMBOLS or c == "I" for c in word))
-    return [known, twice, strange, float(len(read)), float(len(printed)), float(len(word)), float(at == 0), float(at + len(read) == len(word)), float(np.log((m + 1) / (n + 1))), float(np.log(n + 1)), float(not read or not printed)]
+    return [float(np.log1p(seen)), strange, float(len(read)), float(len(printed)), float(twice), float(min(len(word), 12)), float(at == 0), float(at + len(read) == len(word)), float(np.log((m + 1) / (n + 1))), float(np.log(n + 1))]
 
 
-def train(frequent: list[tuple[str, int]], seed: int = 11) -> BoostedTrees:
-    """Trees trained on misreadings made from frequent words, against halves, endings and other words that look like them."""
+def train(frequent: list[tuple[str, int]], exchanges: list[tuple[str, str, float]], seed: int = 11) -> BoostedTrees:
+    """Trees trained on misreadings made from frequent words by the corpus's exchanges (read, printed, seen), once or wherever
+    they fit, against words that an exchange which few words show would make of them."""
     random = np.random.default_rng(seed)
-    words = [w for w, _ in frequent if len(w) >= 4 and w.isalpha()] or ["word", "letter"]
+    words = [w for w, _ in frequent if len(w) >= 3 and w.isalpha()] or ["word", "letter"]
     known, rows, labels = dict(frequent), [], []
-    letters = "abcdefghijklmnopqrstuvwxyz"
-
-    def add(word: str, n: int, candidate: str, label: float) -> None:
-        if word != candidate:
-            rows.append(features(word, n, candidate, known.get(candidate, 100)))
+    alphabet = sorted({ch for w in words for ch in w})
+    often = {(read, printed): seen for read, printed, seen in exchanges if seen >= SEEN}
+
+    def add(word: str, n: int, candidate: str, seen: float | None, label: float) -> None:
+        found = exchange(word, candidate)
+        if found is not None:
+            seen = often.get(found[:2], 0.0) if seen is None else seen
+            rows.append(features(word, n, candidate, known.get(candidate, 100), *found, seen))
             labels.append(label)
 
     for w in words:
-        spots = [(w[:k] + wrong + w[k + len(right) :]) for right, wrong in CONFUSIONS for k in range(len(w)) if w[k : k + len(right)] == right]
         n = int(random.integers(1, max(2, known.get(w, 100) // RATIO)))
-        if spots:
-            misread = spots[random.integers(len(spots))]
-            add(misread, n, w, 1.0)
-            add(misread, n, words[random.integers(len(words))], 0.0)
-        cut = int(random.integers(1, 3))
-        add(w[cut:], n, w, 0.0)
-        add(w[:-cut], n, w, 0.0)
-        k = int(random.integers(len(w)))
-        other = letters[random.integers(26)]
-        if (w[k], other) not in CONFUSIONS:
-            add(w[:k] + other + w[k + 1 :], n, w, 0.0)
-        add(w[:k] + w[k + 1 :], n, w, 0.0)
-        add(w[:k] + other + w[k:], n, w, 0.0)
+        fits = [x for x in often if x[1] in w]
+        for read, printed in [fits[i] for i in random.integers(len(fits), size=3)] if fits else ():
+            spots = [k for k in range(len(w)) if w[k : k + len(printed)] == printed]
+            k = spots[random.integers(len(spots))]
+            once = w[:k] + read + w[k + len(printed) :]
+            add(once, n, w, None, 1.0)
+            add(once, n, w, float(SEEN), 1.0)
+            add(w.replace(printed, read), n, w, None, 1.0)
+            add(once, n, w, float(random.integers(0, SEEN - 1)), 0.0)
+        for _ in range(3):
+            k, size = int(random.integers(len(w))), int(random.integers(1, 3))
+            other = "".join(alphabet[i] for i in random.integers(len(alphabet), size=int(random.integers(1, 3))))
+            if (other, w[k : k + size]) not in often:
+                add(w[:k] + other + w[k + size :], n, w, float(random.integers(0, SEEN - 1)), 0.0)
     return BoostedTrees().fit(np.array(rows), np.array(labels))
 
 
+def _pair_schema() -> str:
+    return "word string, n bigint, candidate string, m bigint, read string, printed string, twice boolean"
+
+
+def _exchanges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a word and a candidate with the exchange between them; pairs without one are no misreadings."""
+    for batch in batches:
+        found = [exchange(w, c) for w, c in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+        kept = pa.array([x is not None for x in found], pa.bool_())
+        cols = list(zip(*(x for x in found if x is not None))) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([*batch.filter(kept).columns, pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.bool_())], names=["word", "n", "candidate", "m", "read", "printed", "twice"])
+
+
 def _score(model: BoostedTrees):
+    prior = {(read, printed) for printed, read in CONFUSIONS}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w, n, c, m = (batch.column(k).to_pylist() for k in range(4))
-            score = model.predict(np.array([features(*x) for x in zip(w, n, c, m)])) if w else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=["word", "n", "candidate", "m", "score"])
+            w, n, c, m, read, printed, twice, seen = (batch.column(k).to_pylist() for k in ("word", "n", "candidate", "m", "read", "printed", "twice", "seen"))
+            every = [s + SEEN * ((x, y) in prior) for s, x, y in zip(seen, read, printed)]
+            score = model.predict(np.array([features(*x) for x in zip(w, n, c, m, read, printed, twice, every)])) if w else np.empty(0)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("candidate"), batch.column("m"), pa.array(score, pa.float64())], names=["word", "candidate", "m", "score"])
 
     return run
 
 
-def corrections(counts: DataFrame) -> DataFrame:
-    """(word, correction, score), as a written table."""
-    latin = r"^[a-zA-Z0-9@!|$'’-]+$"
-    rare = counts.filter(F.length("word").between(3, LONGEST) & F.col("word").rlike(latin) & F.col("word").rlike("[a-z]{2}"))
-    frequent = counts.filter((F.col("n") >= MIN_FREQUENT) & F.length("word").between(3, LONGEST) & F.col("word").rlike("^[a-z]+$"))
-    sample = frequent.orderBy(F.xxhash64("word")).limit(TRAIN_WORDS)
-    model = train([(r["word"], r["n"]) for r in sample.collect()])
+def candidate_pairs(counts: DataFrame) -> DataFrame:
+    """(word, n, candidate, m, read, printed, twice): every word with the frequent words that it may be a misreading of.
+
+    Words of any script and length take part. A candidate is entered under its rarest grams only, more than two misread places
+    can spoil, so no common gram brings many words together; a word is looked up by all of its own. Grams meet at places that
+    differ by one at most, and only for words whose length some frequent word comes near.
+    """
+    kept = counts.filter(F.col("word").rlike(r"^[\p{L}\p{M}\p{N}\p{P}\p{S}]+$") & F.col("word").rlike(r"\p{L}"))
+    frequent = kept.filter((F.col("n") >= MIN_FREQUENT) & F.col("word").rlike(r"^[\p{L}\p{M}]{2,}$"))
+    lengths = frequent.select(F.explode(F.array(*(F.length("word") + k for k in (-1, 0, 1)))).alias("length")).distinct()
+    rare = kept.withColumn("length", F.length("word")).join(lengths, "length", "left_semi").filter((F.col("length") >= 3) | F.col("word").rlike(r"[\p{N}\p{S}\p{P}]"))
     padded = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
-    gram = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(padded, i, F.lit(Q)))).alias("at", "gram")
-    left = rare.select("word", "n", gram).select("word", "n", "gram", F.explode(F.array(F.col("at") - 1, F.col("at"), F.col("at") + 1)).alias("at"))
-    right = frequent.select("word", "n", gram).select(F.col("word").alias("candidate"), F.col("n").alias("m"), "gram", "at")
+    grams = lambda q: F.transform(F.sequence(F.lit(1), F.length("word") + 3 - q), lambda i: F.struct(i.alias("at"), F.substring(padded, i, F.lit(q)).alias("gram")))
+    every = F.concat(F.when(F.length("word") >= SHORT - 1, grams(Q)).otherwise(F.array().cast("array<struct<at:int,gram:string>>")), F.when(F.length("word") <= SHORT, grams(Q_SHORT)).otherwise(F.array().cast("array<struct<at:int,gram:string>>")))
+    left = rare.select("word", "n", F.explode(every).alias("g")).select("word", "n", "g.gram", F.explode(F.array(F.col("g.at") - 1, F.col("g.at"), F.col("g.at") + 1)).alias("at"))
+    right = frequent.select(F.col("word"), F.col("n").alias("m"), F.explode(every).alias("g")).select(F.col("word").alias("candidate"), "m", "g.gram", "g.at")
+    rarity = right.groupBy("gram", "at").agg(F.count("*").alias("held"))
+    order = Window.partitionBy("candidate", F.length("gram")).orderBy("held", "gram", "at")
+    right = right.join(rarity, ["gram", "at"]).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= RARE_GRAMS)
     near = (F.abs(F.length("word") - F.length("candidate")) <= 1) & (F.col("m") >= RATIO * F.col("n")) & (F.col("word") != F.col("candidate"))
-    met = left.join(right, ["gram", "at"]).filter(near).groupBy("word", "n", "candidate", "m").agg(F.count_distinct("gram").alias("common"))
-    pairs = met.filter(F.col("common") >= F.greatest(F.lit(1), F.length("candidate") - 2 * Q)).select("word", "n", "candidate", "m")
-    scored = pairs.mapInArrow(_score(model), "word string, n bigint, candidate string, m bigint, score double").filter(F.col("score") >= ACCEPT)
+    met = left.join(right.select("candidate", "m", "gram", "at"), ["gram", "at"]).filter(near).select("word", "n", "candidate", "m").distinct()
+    return met.mapInArrow(_exchanges, _pair_schema())
+
+
+def corrections(counts: DataFrame) -> DataFrame:
+    """(word, correction, score), as a written table."""
+    pairs = materialize(candidate_pairs(counts), "misread-pairs")
+    seen = pairs.filter(F.length("word") - F.length("read") >= KEPT).groupBy("read", "printed").agg(F.count_distinct("word").alias("seen"))
+    common = {(r["read"], r["printed"]): float(r["seen"]) for r in seen.filter(F.col("seen") >= SEEN).orderBy(F.desc("seen"), "read", "printed").limit(TRAIN_EXCHANGES).collect()}
+    for printed, read in CONFUSIONS:
+        common[read, printed] = common.get((read, printed), 0.0) + SEEN
+    sample = counts.filter((F.col("n") >= MIN_FREQUENT) & F.col("word").rlike(r"^\p{L}{3,}$")).orderBy(F.xxhash64("word")).limit(TRAIN_WORDS)
+    model = train([(r["word"], r["n"]) for r in sample.collect()], [(*key, n) for key, n in sorted(common.items())])
+    shown = pairs.join(seen, ["read", "printed"], "left").withColumn("seen", F.coalesce(F.col("seen").cast("double"), F.lit(0.0)))
+    scored = shown.mapInArrow(_score(model), "word string, candidate string, m bigint, score double").filter(F.col("score") >= ACCEPT)
     best = Window.partitionBy("word").orderBy(F.desc("score"), F.desc("m"), "candidate")
     return materialize(scored.withColumn("place", F.row_number().over(best)).filter("place = 1").select("word", F.col("candidate").alias("correction"), "score"), "corrections")
 
@@ -412,7 +521,7 @@ class Asked:
         if answer is None:
             if len(self.known) > 500_000:
                 self.known.clear()
-            word = form(bare(token)) if len(token) <= 2 * LONGEST else ""
+            word = form(bare(token))
             answer = bool(word) and any(self.bits[_hash(w) % FILTER] for w in (word, *(word.split("-") if "-" in word else ())))
             self.known[token] = answer
         return answer
@@ -457,7 +566,7 @@ def noise(docs: DataFrame, id_col: str, text_col: str, chapter_col: str) -> Data
 
 def _train_joins_on(counts: DataFrame) -> BoostedTrees:
     pick = lambda df: [(r["word"], r["n"]) for r in df.orderBy(F.xxhash64("word")).limit(TRAIN_WORDS // 3).collect()]
-    return train_joins(pick(counts.filter((F.col("n") >= MIN_FREQUENT) & F.col("word").rlike(r"^[a-z]{4,40}$"))), pick(counts.filter((F.col("n") >= 2) & F.col("word").rlike(r"^[a-z]+-[a-z]+$"))))
+    return train_joins(pick(counts.filter((F.col("n") >= MIN_FREQUENT) & F.col("word").rlike(r"^\p{L}{4,}$"))), pick(counts.filter((F.col("n") >= 2) & F.col("word").rlike(r"^\p{L}+-\p{L}+$"))))
 
 
 def _train_furniture_on(texts: DataFrame) -> Alike:

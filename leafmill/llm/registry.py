@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.dimensions import small
 from ..sources.tables import table
 from . import boilerplate, lookalikes, mixing, neardup, neighbours, scan_repair, sentences, splitting, tokens, truncation
 
@@ -37,13 +38,17 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    chosen = table(spark, d, "sentence_sample").select("idx").distinct()
-    snippets = table(spark, d, "metadata").select("idx", "snippet").join(chosen, "idx", "left_semi")
-    return sentences.split_sentences(snippets, "snippet", ["idx"], with_text=False).select("idx", "end_pos").distinct()
+    # An idx that were listed under two languages would be cut by the lesser.
+    chosen = table(spark, d, "sentence_sample").groupBy("idx").agg(F.min("lang").alias("lang"))
+    snippets = table(spark, d, "metadata").select("idx", "snippet").join(chosen, "idx")
+    return sentences.split_sentences(snippets, "snippet", ["idx"], language=F.col("lang"), with_text=False).select("idx", "end_pos").distinct()
 
 
 def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.split_sentences(table(spark, d, "metadata"), "snippet", ["idx"])
+    """All snippets, by the language of their book; guessed where the book is unknown."""
+    books = table(spark, d, "books").groupBy(F.col("pdf_filename").alias("__file")).agg(F.min("language").alias("__book_language"))
+    known = table(spark, d, "metadata").select("idx", "snippet", F.element_at(F.split("file_path", "[/\\\\]"), -1).alias("__file")).join(small(books), "__file", "left")
+    return sentences.split_sentences(known, "snippet", ["idx"], language=F.col("__book_language"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -3,9 +3,9 @@ import pytest
 from leafmill.llm.sentences import sentence_ends, split_sentences
 
 
-def cut(text):
+def cut(text, language=None):
     out, begin = [], 0
-    for end in sentence_ends(text):
+    for end in sentence_ends(text, language):
         out.append(text[begin:end].strip())
         begin = end
     return out
@@ -45,3 +45,32 @@ def test_edges(spark):
     got = split_sentences(docs, "snippet", ["idx"]).collect()
     assert sorted((r["idx"] or 0, r["sentence_no"], r["begin_pos"], r["end_pos"], r["sentence"]) for r in got) == sorted([(1, 0, 0, 4, "One."), (1, 1, 5, 9, "Two.")] * 2 + [(0, 0, 0, 2, "Q.")])
     assert split_sentences(docs.filter("idx = 9"), "snippet", ["idx"]).collect() == []
+
+
+@pytest.mark.parametrize("language,parts", [
+    ("en", ["I said no.", "She left."]), ("English", ["This is art.", "It lives."]), ("en", ["He ate a fig.", "Then he slept."]), ("en", ["He hit col.", "She ran."]),
+    (None, ["I said no.", "See No. 4 and Fig. 12 of it."]), ("en", ["Col. Vask and Gen. Ash met St. Parthil.", "They left."]), ("en-GB", ["Cf. ch. 4 and art. 7, sec. xii.", "Done."]),
+    ("de", ["Siehe Bd. 4 und Nr. 7 von Hr. Ahn.", "Gut."]), ("fr", ["Voir M. Ahn et Mme. Vask, p. ex. ici.", "Bien."]), ("de", ["Er kam bzw. Sie kam."]), ("en", ["He came bzw.", "She came."]),
+    ("ru", ["Это и др. люди, Dr. Ash и т. д. там.", "Да."]), ("xx", ["Unknown here.", "Yes."]),
+])
+def test_shortened_words_belong_to_a_language(language, parts):
+    assert cut(" ".join(parts), language) == parts
+
+
+def test_long_words_and_many_quotes_are_seen_whole():
+    word = "Donaudampfschifffahrtsgesellschaftskapitaen" * 3
+    assert cut(f"Das sagt {word}. Dann geht er.", "de") == [f"Das sagt {word}.", "Dann geht er."]
+    assert cut("He asks why? " + "“" * 20 + "then he goes.") == ["He asks why? " + "“" * 20 + "then he goes."]
+
+
+def test_language_is_guessed_by_script_and_words():
+    from leafmill.llm.sentences import guess_language, language_code
+
+    assert [guess_language(t) for t in ("Это всё", "यह है", "the end of it", "le fils et la mère", "der Hund und die Katze", "", "123", "这是")] == ["ru", "hi", "en", "fr", "de", "en", "en", "en"]
+    assert [language_code(x) for x in ("English", "de_AT", "Bengali, Sanskrit", "", None, "Klingon")] == ["en", "de", "bn", None, None, None]
+
+
+def test_language_column(spark):
+    docs = spark.createDataFrame([(1, "Er kam bzw. Sie kam.", "de", "x"), (2, "Er kam bzw. Sie kam.", "en", "y"), (3, "He said no. She left.", None, "z")], "idx int, snippet string, __language string, sentence string")
+    got = split_sentences(docs, "snippet", ["idx"], language=docs["__language"]).groupBy("idx").count().collect()
+    assert {r["idx"]: r["count"] for r in got} == {1: 1, 2: 2, 3: 2}

@@ -6,32 +6,38 @@ vector lie on one side of the node unless the vector's own distance is within r
 to ``factor`` * r: with factor 1 and one tree nothing is lost; with a small factor and several independent trees little
 is lost and each vector stands in few places.
 
-The upper levels of the trees are fitted on a sample of at most ``SAMPLE`` vectors and broadcast; they send every vector
-to its shards. A shard with more than ``LEAF_ROWS`` vectors goes on splitting with a tree of its own, so no comparison
-is ever made between all pairs of a large group. Vectors that are the same in all components are one class, compared
-once.
-
-Defined results: null, zero, non-finite vectors and vectors of another dimension than most have no neighbours;
-components count to 1/32767 of the largest in their vector, which moves a cosine by about 0.00001; ties go to the lower
-id; repeated rows (an id with the same vector again) count once; an empty table gives an empty one.
+The trees are fitted on a sample of at most ``SAMPLE`` vectors and broadcast; they send every vector to its shards, of
+``LEAF_ROWS`` vectors on average. For pairs, what is sent is a sketch of 256 bits; the bits that two sketches differ in tell
+their angle, and pairs within ``SIGMAS`` standard deviations of the least cosine are then compared exactly, by the vectors
+as stored. Vectors that are the same in all components are one class, compared once.
+
+Defined results: null, zero, non-finite vectors and vectors of another dimension than most have no neighbours; classes count
+components to 1/32767 of the largest in their vector, and so do the cosines of ``nearest``, which moves them by about
+0.00001; ties go to the lower id; repeated rows (an id with the same vector again) count once; of an id with several
+vectors one is compared; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..sources.scratch import materialize
+
 #: Vectors that the routing trees are fitted on, at most; all vectors are indexed.
 SAMPLE = 32_768
 #: Vectors that are compared with each other in one block.
 LEAF_ROWS = 4_000
-MAX_DEPTH = 12
-#: Trees for pairs, up to three levels; more in proportion for more, as every level parts some pairs.
+NODE_SAMPLE = 4
+#: Bits of the sketches that pairs are sought by, and how far beyond their mean a pair may lie.
+BITS, SIGMAS = 256, 4.5
+#: Trees for pairs, at the least.
 TREES = 5
 FACTOR = 0.01
 #: For the k nearest, whose radius is large in a space without clusters.
@@ -71,12 +77,13 @@ def _prepare(dimension: int):
 
 
 class Forest:
-    """Vantage points and medians of several trees, each a heap: the children of node n are 2n+1 and 2n+2."""
+    """Vantage points and medians of several trees, each a heap: the children of node n are 2n+1 and 2n+2. Vantage points are
+    places in one sample that all trees share, so a deeper tree costs eight bytes a node."""
 
     def __init__(self, sample: np.ndarray, depth: int, trees: int, seed: int) -> None:
-        self.depth, self.trees = depth, trees
+        self.depth, self.trees, self.sample = depth, trees, sample.astype(np.float32)
         nodes = 2**depth - 1
-        self.points = np.zeros((trees, max(nodes, 1), sample.shape[1] if sample.ndim == 2 else 0), np.float32)
+        self.points = np.zeros((trees, max(nodes, 1)), np.int32)
         self.medians = np.zeros((trees, max(nodes, 1)), np.float32)
         random = np.random.default_rng(seed)
         for t in range(trees):
@@ -84,8 +91,8 @@ class Forest:
             for node in range(nodes):
                 inside = members.pop(node)
                 pool = inside if len(inside) else np.arange(len(sample))
-                point = sample[pool[random.integers(len(pool))]]
-                distance = np.sqrt(np.maximum(0, 2 - 2 * (sample[inside] @ point)))
+                point = pool[random.integers(len(pool))]
+                distance = np.sqrt(np.maximum(0, 2 - 2 * (sample[inside] @ sample[point])))
                 median = float(np.median(distance)) if len(inside) else math.sqrt(2)
                 self.points[t, node], self.medians[t, node] = point, median
                 members[2 * node + 1], members[2 * node + 2] = inside[distance <= median], inside[distance > median]
@@ -97,7 +104,7 @@ class Forest:
         for t in range(self.trees):
             row, node = np.arange(len(unit)), np.zeros(len(unit), np.int64)
             for _ in range(self.depth):
-                distance = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", unit[row], self.points[t, node])))
+                distance = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", unit[row], self.sample[self.points[t, node]])))
                 off = distance - self.medians[t, node]
                 low, high = off <= slack[row], off > -slack[row]
                 row, node = np.concatenate([row[low], row[high]]), np.concatenate([2 * node[low] + 1, 2 * node[high] + 2])
@@ -106,42 +113,84 @@ class Forest:
         return np.concatenate(rows), np.concatenate(shards)
 
 
-def _route(forest: Forest, dimension: int, slack: float):
+@lru_cache(maxsize=8)
+def _planes(dimension: int) -> np.ndarray:
+    """``BITS`` directions in sets that are at right angles, the same everywhere."""
+    random = np.random.default_rng(1_000_003)
+    sets = [np.linalg.qr(random.standard_normal((dimension, dimension)))[0] for _ in range(-(-BITS // dimension))]
+    return np.concatenate(sets, axis=1)[:, :BITS].astype(np.float32)
+
+
+def sketch(unit: np.ndarray) -> np.ndarray:
+    """On which side of each of ``BITS`` planes a vector lies, as words of 64 bits. Vectors at an angle differ in the share
+    angle / pi of their bits."""
+    return np.packbits(unit.astype(np.float32) @ _planes(unit.shape[1]) > 0, axis=1).view(np.uint64)
+
+
+def bits_apart(least: float) -> int:
+    """The bits that vectors with a cosine of ``least`` differ in, and ``SIGMAS`` standard deviations more."""
+    share = math.acos(min(1.0, least)) / math.pi
+    return min(BITS, math.ceil(BITS * share + SIGMAS * math.sqrt(BITS * share * (1 - share))))
+
+
+WORDS = ("s0", "s1", "s2", "s3")
+_ROUTED = "shard bigint, id bigint, " + ", ".join(f"{w} bigint" for w in WORDS)
+
+
+def _route(forest: Forest, dimension: int, slack: float, sketched: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                row, shard = forest.route(_unpack(batch.column(1), dimension), slack)
+                unit = _unpack(batch.column(1), dimension)
+                row, shard = forest.route(unit, slack)
                 order = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), batch.column(0).take(order), batch.column(1).take(order)], names=["shard", "id", "vec"])
+                if sketched:
+                    words = sketch(unit)[row].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), batch.column(0).take(order), *(pa.array(words[:, k]) for k in range(len(WORDS)))], names=["shard", "id", *WORDS])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), batch.column(0).take(order), batch.column(1).take(order)], names=["shard", "id", "vec"])
 
     return run
 
 
-def _pairs_within(ids: np.ndarray, unit: np.ndarray, least: float, slack: float, random: np.random.Generator, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of a shard with a cosine of at least ``least``, splitting on as a vantage-point tree while it is large."""
-    if len(ids) > LEAF_ROWS and depth < 40:
-        point = unit[random.integers(len(unit))]
-        distance = np.sqrt(np.maximum(0, 2 - 2 * (unit @ point)))
-        median = np.median(distance)
-        low, high = distance <= median + slack, distance > median - slack
-        if low.sum() < len(ids) and high.sum() < len(ids):
-            yield from _pairs_within(ids[low], unit[low], least, slack, random, depth + 1)
-            yield from _pairs_within(ids[high], unit[high], least, slack, random, depth + 1)
-            return
-    for start in range(0, len(ids), 1024):
-        block = unit[start : start + 1024] @ unit[start:].T
-        a, b = np.nonzero(block >= least)
-        keep = a < b
-        a, b = a[keep], b[keep]
-        yield ids[start + a], ids[start + b], block[a, b]
-
-
-def _shard_pairs(dimension: int, least: float, slack: float):
-    def run(group: pa.Table) -> pa.Table:
-        ids, unit = group.column("id").to_numpy(), _unpack(group.column("vec"), dimension)
-        found = list(_pairs_within(ids, unit, np.float32(least), slack, np.random.default_rng(len(ids))))
-        a, b, c = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "cosine": pa.array(c, pa.float64())})
+def _shard_candidates(most: int):
+    """Pairs of a shard whose sketches differ in ``most`` bits at most, block by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(batches)
+        ids = whole.column("id").to_numpy()
+        words = np.column_stack([whole.column(w).to_numpy() for w in WORDS]).view(np.uint64)
+        step = max(1, 2_000_000 // max(1, len(ids)))
+        for start in range(0, len(ids), step):
+            apart = np.zeros((min(step, len(ids) - start), len(ids) - start), np.uint16)
+            for k in range(len(WORDS)):
+                apart += np.bitwise_count(words[start : start + step, None, k] ^ words[None, start:, k])
+            a, b = np.nonzero(apart <= most)
+            keep = a < b
+            a, b = ids[start + a[keep]], ids[start + b[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return run
+
+
+def _cosines(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.float64).reshape(batch.num_rows, -1) for k in (2, 3))
+            cosine = np.einsum("ij,ij->i", x, y)
+            keep = pa.array(cosine >= least - 1e-12)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cosine)], names=["a", "b", "cosine"]).filter(keep)
+
+    return run
+
+
+def _exact(dimension: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, unit = _normal(batch, dimension)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([row.tobytes() for row in unit], pa.binary())], names=["id", "unit"])
 
     return run
 
@@ -156,8 +205,9 @@ def _fit(packed: DataFrame, dimension: int, trees: int, seed: int, n: int) -> tu
     share = min(1.0, SAMPLE / max(n, 1))
     chosen = packed.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_003)) <= int(1_000_003 * share)) if share < 1 else packed
     sample = _unpack(pa.array([r["vec"] for r in chosen.select("vec").limit(2 * SAMPLE).collect()], pa.binary()), dimension)
-    depth = min(MAX_DEPTH, _levels(n))
-    return Forest(sample, depth if len(sample) > 1 else 0, trees, seed), sample
+    # No deeper than the sample can tell: ``NODE_SAMPLE`` vectors are the least to have a median of.
+    depth = min(_levels(n), max(0, int(math.log2(max(1, len(sample) / NODE_SAMPLE)))))
+    return Forest(sample, depth, trees, seed), sample
 
 
 def _levels(n: int) -> int:
@@ -166,8 +216,8 @@ def _levels(n: int) -> int:
 
 
 def trees_for(n: int) -> int:
-    """Trees that keep the recall of three levels for n vectors."""
-    return max(TREES, math.ceil(TREES * _levels(n) / 3))
+    """Trees for n vectors: ``TREES``, or one for every level of a deeper tree, as every level parts some pairs."""
+    return max(TREES, _levels(n))
 
 
 def similar_pairs(vectors: DataFrame, id_col: str = "idx", vector_col: str = "embedding", *, least: float = 0.9, trees: int | None = None, factor: float = FACTOR, seed: int = 7, expand: bool = True) -> DataFrame:
@@ -182,11 +232,15 @@ def similar_pairs(vectors: DataFrame, id_col: str = "idx", vector_col: str = "em
     packed = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col)).mapInArrow(_prepare(dimension), "id bigint, vec binary")
     n = vectors.count()
     forest, _ = _fit(packed, dimension, trees or trees_for(n), seed, n)
-    radius = math.sqrt(2 - 2 * least)
     classes = packed.groupBy("vec").agg(F.min("id").alias("id"), F.max("id").alias("last"))
-    shards = classes.select("id", "vec").mapInArrow(_route(forest, dimension, factor * radius), "shard bigint, id bigint, vec binary")
-    pairs = shards.groupBy("shard").applyInArrow(_shard_pairs(dimension, least, factor * radius), "a bigint, b bigint, cosine double")
-    pairs = pairs.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    # Sketches of 32 bytes go to the shards, not vectors; the few pairs that they leave are compared exactly.
+    shards = classes.select("id", "vec").mapInArrow(_route(forest, dimension, factor * math.sqrt(2 - 2 * least), True), _ROUTED)
+    met = materialize(shards.groupBy("shard").applyInArrow(_shard_candidates(bits_apart(least)), "a bigint, b bigint").distinct(), "vector-pairs")
+    holders = met.select(F.col("a").alias("id")).union(met.select(F.col("b").alias("id"))).distinct()
+    exact = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col)).join(holders, "id", "left_semi").mapInArrow(_exact(dimension), "id bigint, unit binary").dropDuplicates(["id"])
+    exact = materialize(exact, "vector-units")
+    both = met.join(exact.select(F.col("id").alias("a"), F.col("unit").alias("x")), "a").join(exact.select(F.col("id").alias("b"), F.col("unit").alias("y")), "b")
+    pairs = both.select("a", "b", "x", "y").mapInArrow(_cosines(least), "a bigint, b bigint, cosine double")
     if not expand:
         return pairs
     hashes = (F.xxhash64("vec").alias("h"), F.hash("vec").alias("g"))
@@ -248,7 +302,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     forest, sample = _fit(packed, dimension, 1, seed, vectors.count())
     copies = Window.partitionBy("vec").orderBy("id")
     enough = packed.distinct().withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1).select("id", "vec")
-    stored = enough.mapInArrow(_route(forest, dimension, 0.0), "shard bigint, id bigint, vec binary").withColumn("is_query", F.lit(False))
+    stored = enough.mapInArrow(_route(forest, dimension, 0.0, False), "shard bigint, id bigint, vec binary").withColumn("is_query", F.lit(False))
     asked = pack(queries).distinct().mapInArrow(_route_queries(forest, sample, dimension, k, factor), "shard bigint, id bigint, vec binary, is_query boolean")
     found = stored.unionByName(asked).groupBy("shard").applyInArrow(_shard_nearest(dimension, k), "id bigint, neighbour bigint, cosine double")
     best = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")

@@ -40,7 +40,7 @@ def test_deep_trees_keep_pairs_near_the_threshold(spark, monkeypatch):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     step = r.normal(size=x[::2].shape)
     x[1::2] = x[::2] + 0.42 * step / np.linalg.norm(step, axis=1, keepdims=True)
-    assert [N.trees_for(n) for n in (0, 80, 640, 10_240)] == [5, 5, 10, 17]
+    assert [N.trees_for(n) for n in (0, 80, 640, 10_240)] == [5, 5, 6, 10]
     got = {(row["a"], row["b"]) for row in N.similar_pairs(frame(spark, x)).collect()}
     want = brute(x, 0.9)
     assert got <= want and len(want) > 250 and len(got) >= 0.99 * len(want)
@@ -73,3 +73,20 @@ def test_hot_class_and_empty(spark):
     assert N.similar_pairs(empty).collect() == [] and N.nearest(empty, empty).collect() == []
     with pytest.raises(ValueError):
         N.similar_pairs(same, least=0)
+
+
+def test_sketches_lose_no_pair_and_cosines_are_exact(spark):
+    """Pairs right at the least cosine are within the bits allowed, and the cosines that come out are those of the vectors."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = r.normal(size=x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(1 - 0.81) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    apart = np.bitwise_count(N.sketch(x) ^ N.sketch(y)).sum(axis=1)
+    assert (apart > N.bits_apart(0.9)).mean() < 0.001 and N.bits_apart(0.9) < 80 and N.bits_apart(1.0) == 0
+    v = frame(spark, make())
+    got = {(row["a"], row["b"]): row["cosine"] for row in N.similar_pairs(v, least=0.99, factor=1.0, trees=1).collect()}
+    u = make().astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    assert set(got) == brute(make(), 0.99) and all(abs(c - u[a] @ u[b]) < 1e-9 or c == 1.0 for (a, b), c in got.items())

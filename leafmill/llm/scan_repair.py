@@ -273,19 +273,18 @@ def furniture(line: str, titles: list[str], alike) -> tuple[bool, bool]:
         return False, False
     ends = stripped.split(None, 1)[0].strip(EDGE + "~|-"), stripped.rsplit(None, 1)[-1].strip(EDGE + "~|-")
     numbered = match["digit"].search(stripped) is not None or any(e and not e.strip("ivxlc") for e in ends)
+    header = False
     for t in titles:
-        if alike(stripped, t):
-            rest = None
-            for side in ("before", "after") if numbered else ():
-                m = match[side].search(stripped)
-                if m and alike(stripped[: m.start()] + stripped[m.end() :], t) and not any(ch.isdigit() for ch in t):
-                    rest = m
-            return True, rest is not None
+        whole = alike(stripped, t)
+        header = header or whole
         for side in ("before", "after") if numbered else ():
             m = match[side].search(stripped)
-            if m and alike((stripped[: m.start()] + stripped[m.end() :]).strip(" |—–-"), t):
+            if not m:
+                continue
+            rest = stripped[: m.start()] + stripped[m.end() :]
+            if alike(rest, t) and not any(ch.isdigit() for ch in t) if whole else alike(rest.strip(" |—–-"), t):
                 return True, True
-    return False, False
+    return header, False
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -87,13 +87,11 @@ def text_files(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def json_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """The chunk table from a JSON array, with its schema given. idx is the position in the array."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<{_as_struct(CHUNK_SCHEMA)}>>").alias("rows"))
-    return raw.select(F.posexplode("rows").alias("position", "row")).select(F.coalesce("row.idx", F.col("position").cast("bigint")).alias("idx"), "row.file_path", "row.pdf_url", "row.book_title", "row.author", "row.group", "row.priority", "row.chapter_name", "row.snippet", "row.page_number")
-
-
-def _as_struct(schema: str) -> str:
-    return ", ".join(f"{name}: {kind}" for name, kind in (column.rsplit(" ", 1) for column in schema.split(", ")))
+    """The chunk table from one file with a JSON array, with its schema given; the array is read element by element, never
+    held as a whole. idx is the position in the array unless an element has its own. For a table of a size that counts, write
+    it as Parquet once: a JSON array can only be read by one task."""
+    rows = spark.read.schema(CHUNK_SCHEMA).option("multiLine", True).json(path)
+    return rows.withColumn("idx", F.coalesce("idx", F.monotonically_increasing_id()))
 
 
 def json_books(spark: SparkSession, path: str) -> DataFrame:

@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_registered: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,10 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+def _application_dir(spark: SparkSession) -> str:
+    """This application's own folder below the shared one; it goes when the application ends."""
+    path = f"{shared_dir(spark)}/leafmill-{spark.sparkContext.applicationId}"
+    if path not in _registered:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(folder)
+        system.deleteOnExit(folder)
+        _registered.add(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to a table of its own in the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_application_dir(spark)}/{label}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

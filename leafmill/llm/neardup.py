@@ -7,7 +7,8 @@ excludes no edge. What is used instead:
 1. Candidates are sought by longer shingles (``SEARCH`` words), as short ones recur by chance in more and more pairs of
    unrelated texts as a collection grows. An edit that costs a text r >= 2 neighbouring shingles of three words costs it
    at most 2r of five words, so texts that overlap by a share t in the short ones overlap by (3t - 1) / (1 + t) of the
-   larger set in the long ones. Below a threshold of 0.5 the short shingles are used for the search themselves.
+   larger set in the long ones. Below a threshold of 0.5, and with ``by_rule`` False, the short shingles are used for the
+   search themselves: then sharing enough of the rarest is not a rule about edits but follows from the overlap.
 2. Shingles are counted over the whole corpus in a hashed histogram of fixed size, which orders them from rare to common.
 3. Two texts that overlap enough share at least ``SHARED`` of their rarest shingles (the prefix of the ordered set that
    the threshold allows to be missed, and a few more). Texts meet in buckets by those shingles only.
@@ -320,12 +321,15 @@ def _search_by(shingle: int, threshold: float, min_words: int) -> tuple[int, flo
     return SEARCH, (3 * threshold - 1) / (1 + threshold)
 
 
-def class_links(docs: DataFrame, id_col: str, text_col: str, *, threshold: float = THRESHOLD, shingle: int = SHINGLE, min_words: int = MIN_WORDS, shared: int = SHARED) -> tuple[DataFrame, DataFrame]:
-    """(members, links): (id, class) of every text with enough words, and (a, b, similarity) of classes that overlap enough."""
+def class_links(docs: DataFrame, id_col: str, text_col: str, *, threshold: float = THRESHOLD, shingle: int = SHINGLE, min_words: int = MIN_WORDS, shared: int = SHARED, by_rule: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(members, links): (id, class) of every text with enough words, and (a, b, similarity) of classes that overlap enough.
+
+    ``by_rule`` False seeks candidates by the short shingles themselves, which proves that no pair is lost, whatever the edits
+    are, and costs more meetings of unrelated texts."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
     spark = docs.sparkSession
-    search, share = _search_by(shingle, threshold, min_words)
+    search, share = _search_by(shingle, threshold, min_words) if by_rule else (shingle, threshold)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & F.col("text").isNotNull())
     survey = materialize(texts.mapInArrow(_survey(search, min_words, CELLS), "kind int, id bigint, class bigint, n int, chunk int, cells binary"), "shingle-survey", ["kind"])
     counts = _histogram(survey.filter("kind = 1").select("chunk", "cells"), CELLS)

@@ -134,6 +134,13 @@ ORACLES: dict[str, str] = {
                 FROM metadata WHERE book_title IS NOT NULL AND snippet IS NOT NULL)),
         r AS (SELECT book_title, k FROM l WHERE length(k) >= 30 GROUP BY 1, 2 HAVING count(DISTINCT idx) >= 8)
         SELECT DISTINCT idx, CAST(line_no AS INTEGER) AS line_no FROM l JOIN r USING (book_title, k)""",
+    "p2_clean": r"""
+        WITH s AS (SELECT idx, book_title, snippet, string_split(snippet, chr(10)) AS lines FROM metadata),
+        l AS (SELECT idx, book_title, line_no, regexp_replace(lower(lines[line_no + 1]), '\P{L}+', '', 'g') AS k FROM (SELECT *, unnest(range(len(lines))) AS line_no FROM s WHERE book_title IS NOT NULL AND snippet IS NOT NULL)),
+        r AS (SELECT book_title, k FROM l WHERE length(k) >= 30 GROUP BY 1, 2 HAVING count(DISTINCT idx) >= 8),
+        g AS (SELECT idx, list(DISTINCT line_no) AS gone FROM l JOIN r USING (book_title, k) GROUP BY 1)
+        SELECT s.idx, s.book_title, CAST(coalesce(len(gone), 0) AS INTEGER) AS n_removed,
+          CASE WHEN gone IS NULL THEN snippet ELSE array_to_string(list_transform(list_filter(range(len(lines)), lambda i: NOT list_contains(gone, i)), lambda i: lines[i + 1]), chr(10)) END AS snippet FROM s LEFT JOIN g USING (idx)""",
     "p5_found": r"""
         WITH w AS (SELECT idx, regexp_split_to_array(trim(regexp_replace(lower(snippet), '[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')), ' ') AS w FROM metadata WHERE snippet IS NOT NULL),
         s AS (SELECT DISTINCT idx, unnest(list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2]))) AS t FROM w WHERE len(w) >= 20),

@@ -43,6 +43,18 @@ def test_lines_that_follow_each_other_are_one_block_and_are_removed(spark):
     assert [r["snippet"] for r in clean if r["idx"] == 201] == [None]
 
 
+def test_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(B, "BROADCAST_LINES", 0)
+    docs = spark.createDataFrame(rows(), "idx bigint, book_title string, snippet string")
+    assert {tuple(r) for r in B.repeated_lines(docs, "idx", "book_title", "snippet").select("idx", "line_no").collect()} == brute(rows())
+
+
+def test_blocks(spark):
+    docs = spark.createDataFrame(rows(), "idx bigint, book_title string, snippet string")
+    got = B.boilerplate_blocks(docs, "idx", "book_title", "snippet").collect()
+    assert [(r["book_title"], r["n_lines"], r["support"]) for r in got] == [("Book", 18, 9)]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "idx bigint, book_title string, snippet string")
     assert B.repeated_lines(docs, "idx", "book_title", "snippet").collect() == []

@@ -49,6 +49,21 @@ def test_pairs_equal_brute_force(spark, docs):
     assert got == want and len(want) > 60
 
 
+def test_the_exact_way_needs_no_rule_about_edits(spark):
+    """Texts made of the same three-word runs in another order, which no edit makes: only the exact way is bound to find them."""
+    random.seed(8)
+    runs = [f"a{i} b{i} c{i}" for i in range(60)]
+    texts = []
+    for _ in range(6):
+        texts.append(" ".join(random.sample(runs, 60)))
+    texts += [" ".join(["x y z"] * 8 + random.sample(runs, 30)) for _ in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts + [t for _, t in rows()[:30]])), "idx bigint, snippet string")
+    some = [(i, t) for i, t in enumerate(texts + [t for _, t in rows()[:30]])]
+    for least in (0.25, 0.5, 0.6, 0.8):
+        got = {(r["a"], r["b"]) for r in N.near_duplicate_pairs(docs, "idx", "snippet", threshold=least, by_rule=False).collect()}
+        assert got == brute(some, least)
+
+
 def test_hot_shingles_are_split_without_loss(spark, docs, monkeypatch):
     monkeypatch.setattr(N, "HOT", 3)
     monkeypatch.setattr(N, "CELLS", 1 << 14)

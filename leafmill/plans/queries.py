@@ -166,7 +166,19 @@ def snippet_lines(spark, d):
     return _meta(spark, d).filter("snippet IS NOT NULL").select("idx", TX.snippet(F.col("snippet"), COMMON).alias("text"))
 
 
-@query()
+def _first_line_sql(phrase: str) -> str:
+    """T24 of every chunk."""
+    strip = lambda x: f"regexp_replace(regexp_replace({x}, '^' || {_q(_SPACE)}, ''), {_q(_SPACE)} || '$', '')"
+    show = lambda a, b: f"array_to_string(list_transform(l[{a} + 1:{b}], lambda x: {_marked_sql(strip('x'), phrase)}), chr(10))"
+    head = _marked_sql("replace(substring(snippet, 1, 500), chr(10), '<br>')", phrase)
+    return f"""WITH f0 AS (SELECT idx, snippet, string_split(snippet, chr(10)) AS l FROM metadata WHERE snippet IS NOT NULL),
+  f1 AS (SELECT *, list_filter(range(1, len(l) + 1), lambda i: contains(lower(l[i]), {_q(phrase)}))[1] AS h FROM f0),
+  f2 AS (SELECT *, greatest(0, h - 6) AS a, least(len(l), h + 4) AS b FROM f1),
+  f3 AS (SELECT *, {show('a', 'b')} AS narrow, {show('greatest(0, a - 5)', 'least(len(l), b + 5)')} AS wide FROM f2)
+  SELECT idx, CASE WHEN h IS NULL THEN {head} ELSE substring(replace(CASE WHEN length(narrow) >= 200 THEN narrow ELSE wide END, chr(10), '<br>'), 1, 500) END AS text FROM f3"""
+
+
+@query(_first_line_sql(COMMON))
 def snippet_first_line(spark, d):
     return _meta(spark, d).filter("snippet IS NOT NULL").select("idx", TX.snippet(F.col("snippet"), COMMON, "first_line").alias("text"))
 
@@ -176,7 +188,8 @@ def snippet_sentences(spark, d):
     return _meta(spark, d).filter("snippet IS NOT NULL").select("idx", TX.snippet(F.col("snippet"), COMMON, "sentences").alias("text"))
 
 
-@query()
+@query("""SELECT request_id, CASE WHEN len(string_split(t, '<mark>')) > len(string_split(t, '</mark>')) THEN t || '</mark>' ELSE t END AS text
+  FROM (SELECT request_id, regexp_replace(snippet, '<([^>]*)$', '&lt;\\1') AS t FROM results)""")
 def sanitize_html(spark, d):
     return table(spark, d, "results").select("request_id", TX.sanitize_html(F.col("snippet")).alias("text"))
 
@@ -207,7 +220,17 @@ def ingest_counts(spark, d):
     return D.ingest_counts(_meta(spark, d))
 
 
-@query()
+_HEADING_SQL = C.HEADING.replace(r"\w", r"[\p{L}\p{M}\p{N}_]")
+
+
+@query(f"""WITH l AS (SELECT idx, i AS pos, lines[i] AS raw, regexp_replace(regexp_replace(lines[i], '^' || {_q(_SPACE)}, ''), {_q(_SPACE)} || '$', '') AS line FROM (SELECT idx, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT idx, string_split(snippet, chr(10)) AS lines FROM metadata WHERE snippet IS NOT NULL))),
+  h AS (SELECT *, regexp_matches(line, {_q(_HEADING_SQL)}) AS heading, regexp_matches(line, '^\\p{{Nd}}+$') AS number FROM l),
+  n AS (SELECT *, lead(line) OVER w AS next, lead(heading) OVER w AS next_heading, lead(number) OVER w AS next_number, sum(CAST(heading AS INTEGER)) OVER w AS section FROM h WINDOW w AS (PARTITION BY idx ORDER BY pos)),
+  s AS (SELECT idx, section, coalesce(max(CASE WHEN heading THEN CASE WHEN coalesce(next, '') <> '' AND NOT coalesce(next_number, FALSE) AND NOT coalesce(next_heading, FALSE) THEN line || ' - ' || next ELSE line END END), '{C.FIRST_TITLE}') AS title,
+    string_agg(raw, ' ' ORDER BY pos) FILTER (WHERE NOT heading AND NOT number) AS body FROM n GROUP BY 1, 2),
+  w AS (SELECT idx, section, title, string_split({_flat_sql('body')}, ' ') AS w FROM s WHERE {_flat_sql('body')} <> ''),
+  c AS (SELECT idx, section, title, i, array_to_string(list_slice(w, i * 80 + 1, i * 80 + 100), ' ') AS chunk FROM w, unnest(range(0, CAST(ceil(len(w) / 80.0) AS BIGINT))) AS r(i))
+  SELECT idx, CAST(row_number() OVER (PARTITION BY idx ORDER BY section, i) - 1 AS INTEGER) AS chunk_no, title, chunk FROM c""")
 def chapter_chunks(spark, d):
     return C.chapter_chunks(_meta(spark, d).filter("snippet IS NOT NULL"), "idx", "snippet", 100, 20)
 

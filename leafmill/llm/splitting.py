@@ -235,7 +235,8 @@ def _glued(text: str, children: list[Span], begin: int, room: int) -> list[tuple
     out: list[tuple[Span, int]] = []
     last = begin  # where the last heading begins
     for k, child in enumerate(children):
-        leads = k + 1 < len(children) and (child.lead or (not child.children and text[child.start : child.end].rstrip().endswith((":", "："))))
+        opens = child.lead or (not child.children and text[child.start : child.end].rstrip().endswith((":", "：")))
+        leads = k + 1 < len(children) and (child.heading or opens and child.end - begin <= room // 2)
         # Headings that lead here from above may part from a further heading, but not from an entry's own text.
         if (k or child.heading) and begin < child.start and (child.end if leads else child.start) - begin > room // 2:
             part = last if not leads and begin < last and child.start - last <= room // 2 else child.start

@@ -1,5 +1,5 @@
 import pytest
-from hypothesis import given, settings, strategies as st
+from hypothesis import example, given, settings, strategies as st
 
 from leafmill.llm.splitting import cut_points, split_oversized, structure
 
@@ -63,7 +63,8 @@ def documents(draw):
     return draw(st.sampled_from(["\n", "\n\n"])).join(out)
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=300, deadline=None, derandomize=True)
+@example('- river\n  - river\n    - river\n- river\n  - river\n    - river\n# river\n# river\n# river\nbeyond mountain village garden:\n## carries light\n# river\n# river', 120, 48)
 @given(documents(), st.integers(120, 500), st.integers(0, 60))
 def test_structured_documents(text, limit, overlap):
     pieces(text, limit, overlap)

@@ -28,6 +28,13 @@ def hourly_counts(requests: DataFrame, delay: str = "3 days") -> DataFrame:
     return counted.select(F.col("window.start").alias("hour"), "search_type", "n")
 
 
+def hourly_totals(requests: DataFrame) -> DataFrame:
+    """Requests by hour and type over the whole log, for mode 'complete': repeats are dropped and counts kept however late a row
+    comes, with one without a time as well. What is remembered grows with the log, so this is for backfills."""
+    once = requests.select("request_id", "search_type", "requested_at").dropDuplicates()
+    return once.groupBy(F.date_trunc("hour", "requested_at").cast("timestamp_ntz").alias("hour"), "search_type").agg(F.count("*").alias("n"))
+
+
 def run_once(stream: DataFrame, target: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Everything that is there now, written to the Parquet table ``target`` and read back; for tests and backfills.
 

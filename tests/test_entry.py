@@ -68,3 +68,32 @@ def test_plans_scale(spark, data, name):
     for line in plan.split("\n"):
         if "Window [" in line:
             assert not line.rstrip().endswith("]") or "], [" in line, line
+
+
+@pytest.mark.parametrize("layout", ["file", "folder"])
+def test_requests_stream_reads_any_layout(spark, tmp_path, layout):
+    """One file, or a folder of files whose names say nothing; repeats in other files, late rows, reused ids and missing values."""
+    import datetime as dt
+
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    times = [dt.datetime(2024, 3, 1, 0, 10), dt.datetime(2024, 3, 1, 0, 50), dt.datetime(2024, 3, 20, 12), dt.datetime(2024, 3, 1, 0, 10), None]
+    rows = [(i % 7 if i < 60 else None, ["all", "exact", None][i % 3], times[i % 5]) for i in range(70)]
+
+    def write(rows, path):
+        columns = zip(("request_id", "search_type", "requested_at"), zip(*rows), (pa.int64(), pa.string(), pa.timestamp("us")))
+        pq.write_table(pa.table({name: pa.array(values, kind) for name, values, kind in columns}), path)
+
+    log = tmp_path / "requests.parquet"
+    if layout == "file":
+        write(rows, log)
+    else:
+        log.mkdir()
+        for k in range(4):
+            write(rows[k * 15 : k * 15 + 25], log / f"part-{k:05}.parquet")
+    write([(900, "all", times[0])], tmp_path / "old_requests.parquet")  # a neighbour with a similar name is no part of the log
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW requests AS SELECT * FROM '{log}{'/*.parquet' if layout == 'folder' else ''}'")
+    compare(spark, str(tmp_path), con, "requests_stream")

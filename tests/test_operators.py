@@ -332,3 +332,17 @@ def test_streaming(spark, tmp_path):
     assert [(r["search_type"], r["n"]) for r in got] == [("all", 3)]
     RS.append_chunks(RS.request_stream(spark, str(tmp_path / "in"), "*.parquet"), str(tmp_path / "out"), str(tmp_path / "cp2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+
+
+def test_hourly_totals_keep_late_rows(spark, tmp_path):
+    from leafmill.streaming import requests as RS
+
+    def run(*rows):
+        log = spark.createDataFrame(rows, "request_id bigint, search_type string, requested_at string")
+        log.withColumn("requested_at", F.col("requested_at").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = RS.request_stream(spark, str(tmp_path / "in"), "*")
+        got = RS.run_once(RS.hourly_totals(stream), str(tmp_path / "totals"), "complete", str(tmp_path / "cp")).collect()
+        return {(str(r["hour"])[5:13], r["search_type"]): r["n"] for r in got}
+
+    assert run((1, "all", "2024-03-01 00:10:00"), (2, "all", "2024-03-20 05:00:00")) == {("03-01 00", "all"): 1, ("03-20 05", "all"): 1}
+    assert run((1, "all", "2024-03-01 00:10:00"), (3, "all", "2024-03-01 00:20:00")) == {("03-01 00", "all"): 2, ("03-20 05", "all"): 1}
